@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, token_counts
+from . import exact_dedup, line_dedup, token_counts
 from .common import documents
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.line_dedup(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -26,6 +31,16 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 
 ORACLES: dict[str, str] = {
+    "op4_line_dedup": r"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
+        k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        c AS (SELECT key, max(doc_id) AS first_doc FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+        m AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.first_doc AS lost FROM k LEFT JOIN c ON k.key = c.key)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
+        FROM m GROUP BY doc_id""",
     "op9_exact_dedup": f"""
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS n_chars, {_NORMAL} AS norm FROM documents),
         g AS (SELECT norm, count(*) AS group_size, arg_max(doc_id, (n_chars, -doc_id)) AS keep_id FROM n GROUP BY norm)
