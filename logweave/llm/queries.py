@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, simhash, token_counts
-from .common import documents
+from . import exact_dedup, lang_id, line_dedup, simhash, token_counts
+from .common import documents, fold
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = fold(F.col("doc_id"), 5) == 0
+    model = lang_id.fit(docs.where(~held_out).select("doc_id", "text", "lang"))
+    return lang_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
