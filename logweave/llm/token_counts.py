@@ -1,7 +1,7 @@
 """Token counts by a map-side two-tier lookup, without shuffling any pre-token.
 
 Tier 1 is a broadcast table of the lengths (in tokens) of frequent pre-tokens: at most
-``table_size`` entries, so its size is bounded whatever the corpus. Frequencies come from one pass
+1 / ``share`` entries, so its size is bounded whatever the corpus. Frequencies come from one pass
 over all documents that keeps bounded counters in each task and sums the survivors; they decide
 only what is answered fast, never a count. Tier 2 is a bounded cache in each worker: the misses of
 a batch are encoded together by the tokenizer library and remembered.
@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: The byte-level BPE pre-token pattern, and its special token.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPECIAL = "<|endoftext|>"
@@ -67,28 +69,36 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
-def frequent_words(docs: DataFrame, size: int, per_task: int) -> list[str]:
-    """The most frequent space-separated words of all texts; each task holds at most 4 * ``per_task`` counters."""
+def frequent_words(docs: DataFrame, share: float, counters: int = 100_000) -> list[str]:
+    """Space-separated words that make up at least ``share`` of all words: at most 1 / share of them.
+
+    A task holds at most ``counters`` counters (the rarer half go when they run out) and hands on those of its words
+    that reach the share within it, so that what meets is bounded for each task and in all.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
+        total = 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update((text or "").split(" "))
-                if len(seen) > 4 * per_task:
-                    seen = Counter(dict(seen.most_common(per_task)))
-        top = seen.most_common(per_task)
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
+                words = (text or "").split(" ")
+                total += len(words)
+                seen.update(words)
+                if len(seen) > counters:
+                    seen = Counter(dict(seen.most_common(counters // 2)))
+        top = [(w, n) for w, n in seen.items() if n >= share * total]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top] + [None], pa.string()), pa.array([n for _, n in top] + [total], pa.int64())], ["word", "n"])
 
-    counted = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()]
+    counted = materialise(docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    total = counted.where("word is null").select("n").first()
+    return [r.word for r in counted.where(F.col("word").isNotNull() & (F.col("n") >= share * (total.n if total else 0))).collect()]
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, table_size: int = 20_000, per_task: int = 20_000, cache: int = 400_000) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, share: float = 5e-5, cache: int = 400_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens of every row of ``docs``."""
     spark = docs.sparkSession
     tokenizer = load(tokenizer_path)
-    words = [" " + w for w in frequent_words(docs, table_size, per_task) if w.isalpha() and not _ODD.search(w)]
+    words = [" " + w for w in frequent_words(docs, share) if w.isalpha() and not _ODD.search(w)]
     table = dict(zip(words, (len(e) for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)), strict=True)) if words else {}
     shared = spark.sparkContext.broadcast(table)
 
