@@ -109,6 +109,17 @@ class Store:
             self._maps[b] = [np.memmap(os.path.join(root, f"{b}.{i}"), d, "r", shape=(n,)) if n else np.zeros(0, d) for i, d in enumerate(self.dtypes)]
         return self._maps[b]
 
+    def contains(self, keys: np.ndarray) -> np.ndarray:
+        kinds, back = np.unique(keys, return_inverse=True)
+        found = np.zeros(len(kinds), bool)
+        bucket = bucket_of(kinds, self.bits)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(kinds)]]) if len(kinds) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            have = self.bucket(int(bucket[a]))[0]
+            if len(have):
+                found[a:b] = have[np.minimum(np.searchsorted(have, kinds[a:b]), len(have) - 1)] == kinds[a:b]
+        return found[back]
+
     def lookup(self, keys: np.ndarray, want: list[int]) -> list[np.ndarray]:
         """For each key the entries of the arrays ``want`` (by number), zero where the key is missing."""
         out = [np.zeros(len(keys), self.dtypes[w]) for w in want]

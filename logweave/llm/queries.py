@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, kneser_ney, lang_id, line_dedup, mixing, simhash, token_counts
+from . import decontaminate, exact_dedup, kneser_ney, lang_id, line_dedup, mixing, simhash, substring_dedup, token_counts
 from .common import documents, fold
 
 
@@ -54,6 +54,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir)).withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(documents(spark, sf_dir))
+
+
 #: SQL text, with the white space of the contracts spelt out.
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 
