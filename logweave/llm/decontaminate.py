@@ -111,7 +111,7 @@ class Seeds:
         order = np.lexsort((pos, owner, text))
         pos, owner, text = pos[order], owner[order], text[order]
         edge = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
-        for a, b in zip(edge, [*edge[1:], len(pos)], strict=True):
+        for a, b in zip(edge, np.append(edge, len(pos))[1:], strict=True):
             item_id, item = self.items[owner[a]]
             begin, end = first[text[a]], first[text[a] + 1]
             lo_at, hi_at = max(begin, pos[a] - len(item)), min(end, pos[b - 1] + len(item) + self.n)
