@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, kneser_ney, lang_id, line_dedup, mixing, simhash, substring_dedup, token_counts
+from . import decontaminate, exact_dedup, kneser_ney, lang_id, line_dedup, mixing, simhash, substring_dedup, token_counts, toxicity
 from .common import documents, fold
 
 
@@ -23,6 +23,19 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """Fitted on the labelled rows of ``docs`` outside the held-out fold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic in (0, 1)").select("doc_id", F.col("toxic").alias("label"))
+    learnt = docs.where(fold(F.col("doc_id"), 3) != 1).select("doc_id", "text")
+    return toxicity.fit(learnt.join(labels, "doc_id"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.line_dedup(documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
