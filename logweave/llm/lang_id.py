@@ -126,10 +126,12 @@ class Scorer:
 
 def sample(labelled: DataFrame, docs_per_lang: int) -> DataFrame:
     """About ``docs_per_lang`` rows of each lang: those whose id hashes lowest."""
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.least(F.lit(1.0), F.lit(float(docs_per_lang)) / F.col("n"))
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # the model has a column for each
+    if not counts:
+        return labelled.select("lang", "text").limit(0)
+    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, docs_per_lang / n))))
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return labelled.join(counts.select("lang", share.alias("share")), "lang").where(place < F.col("share")).select("lang", "text")
+    return labelled.where(place < share[F.col("lang")]).select("lang", "text")
 
 
 def fit(labelled: DataFrame, docs_per_lang: int = 500, words_per_lang: int = 20_000, grams_per_lang: int = 20_000, orders: tuple[int, ...] = (5, 4, 3, 2, 1), weight: float = 0.5) -> Model:

@@ -52,7 +52,7 @@ class Lengths(dict):
     def count(self, texts: list[str], findall: Callable[[str], list[str]]) -> list[int]:
         out = []
         for a in range(0, len(texts), 64):
-            split = [[p for part in t.split(SPECIAL) for p in findall(part)] if not _ODD.search(t) else None for t in texts[a : a + 64]]
+            split = [None if _ODD.search(t) else findall(t) if SPECIAL not in t else [p for part in t.split(SPECIAL) for p in findall(part)] for t in texts[a : a + 64]]
             self.fill(set().union(*(s for s in split if s)))
             for t, s in zip(texts[a : a + 64], split, strict=True):
                 if s is None:
@@ -94,7 +94,7 @@ def frequent_words(docs: DataFrame, share: float, counters: int = 100_000) -> li
     return [r.word for r in counted.where(F.col("word").isNotNull() & (F.col("n") >= share * (total.n if total else 0))).collect()]
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, share: float = 5e-5, cache: int = 400_000) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, share: float = 5e-5, cache: int = 1_000_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens of every row of ``docs``."""
     spark = docs.sparkSession
     tokenizer = load(tokenizer_path)
