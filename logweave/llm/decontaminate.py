@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import slices, utf8
 from .words import U, blocks, shingle_hashes, word_hashes
 
 _BASE = 0x2545F4914F6CDD1D
@@ -138,7 +138,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     def scan(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seeds = Seeds(*shared.value, seed_words)
-            for batch in batches:
+            for batch in slices(batches):
                 texts = utf8(batch.column(2))
                 found: list[list[tuple[object, float]]] = []
                 for a, b in blocks(texts):

@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise, utf8
+from .common import SPACE, materialise, slices, utf8
 
 LOCAL = "digest binary, content binary, best_len long, best_id long, n long, ids array<long>"
 
 
-def local_groups(docs: DataFrame, block_bytes: int = 16 << 20, with_content: bool = True, digest_bytes: int = 32) -> DataFrame:
+def local_groups(docs: DataFrame, block_bytes: int = 8 << 20, with_content: bool = True, digest_bytes: int = 32) -> DataFrame:
     """One row for each distinct text in a block of rows of a partition (stage 1)."""
 
     def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +54,7 @@ def local_groups(docs: DataFrame, block_bytes: int = 16 << 20, with_content: boo
             groups.clear()
             return out
 
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0).to_pylist()
             lengths = batch.column(2).to_pylist()
             for doc_id, n, text in zip(ids, lengths, utf8(batch.column(1)), strict=True):

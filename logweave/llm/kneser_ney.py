@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch, utf8
+from .common import materialise, scratch, slices, utf8
 from .hashstore import BLOCK, Store, block_batch, bucket_of, buckets_for, build, pack, sum_by_key, to_blocks, unpack, write_array
 from .words import U, blocks, join_hash, mix, word_hashes
 
@@ -187,7 +187,7 @@ def _combined(batches: Iterator[pa.RecordBatch], of, bits: int, limit: int = 1_5
         held.clear()
         return block_batch(list(to_blocks(columns[0], [*columns[1:], counts], bits)))
 
-    for batch in batches:
+    for batch in slices(batches):
         texts = utf8(batch.column(0))
         for a, b in blocks(texts):
             held.append(of(texts[a:b]))
@@ -315,7 +315,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches, 1000):
             texts = utf8(batch.column(1))
             for a, b in blocks(texts, 4 << 20):
                 h, first = tokens(texts[a:b])

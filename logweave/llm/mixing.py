@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, utf8
+from .common import materialise, slices, utf8
 
 #: Sources whose totals may be collected to bisect on the driver; beyond, each step of the bisection is a Spark aggregate.
 LOCAL_SOURCES = 100_000
@@ -45,7 +45,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     """doc_id, source (null as '') and tokens of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t.split()) for t in utf8(batch.column(2))], pa.int64())], ["doc_id", "source", "tokens"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), "text")

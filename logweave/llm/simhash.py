@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, parallelism, utf8
+from .common import materialise, parallelism, slices, utf8
 from .components import components, forest
 
 U = np.uint64
@@ -62,8 +62,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[int, list] = {}
-            for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                found.setdefault(fingerprint(text), []).append(doc_id)
+            for part in slices(iter([batch])):
+                for doc_id, text in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True):
+                    found.setdefault(fingerprint(text), []).append(doc_id)
             fps = np.array(list(found), U).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(fps), pa.array(list(found.values()), pa.list_(pa.int64()))], ["fp", "ids"])
 

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
 from .words import U, mix
 
 ORDERS = (3, 4, 5)
@@ -197,14 +198,12 @@ class Runner:
         h = HIDDEN
         self.p = {k: v.astype(np.float32) for k, v in p.items()}
         self.u = np.zeros((2 * h, 6 * h), np.float32)
-        self.w = np.zeros((2, INPUTS, 6 * h), np.float32)
         for i, d in enumerate("fb"):
             for gate in range(3):
                 to = slice((2 * gate + i) * h, (2 * gate + i + 1) * h)
                 self.u[i * h : (i + 1) * h, to] = self.p[f"u{d}"][:, gate * h : (gate + 1) * h]
-                self.w[i][:, to] = self.p[f"w{d}"][:, gate * h : (gate + 1) * h]
         self.u[:, : 4 * h] *= 0.5  # sigmoid(x) = 0.5 + 0.5 tanh(x / 2)
-        self.w[:, :, : 4 * h] *= 0.5
+        self.w = [self.p[f"w{d}"] * np.repeat(np.float32([0.5, 0.5, 1]), h) for d in "fb"]
 
     def project(self, inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return inputs @ self.w[0], inputs @ self.w[1]
@@ -218,9 +217,11 @@ class Runner:
         h = np.zeros((b, n), np.float32)
         out = np.empty((steps, b, n), np.float32)
         columns = np.ascontiguousarray(rows.T)
+        gates = np.empty((b, 3, 2, HIDDEN), np.float32)
+        a = gates.reshape(b, 3 * n)
         for t in range(steps):
-            a = forward[columns[t]]
-            a += backward[columns[steps - 1 - t]]
+            gates[:, :, 0] = forward[columns[t]].reshape(b, 3, HIDDEN)
+            gates[:, :, 1] = backward[columns[steps - 1 - t]].reshape(b, 3, HIDDEN)
             pre = h @ self.u
             zr = a[:, : 2 * n] + pre[:, : 2 * n]
             np.tanh(zr, out=zr)
@@ -261,11 +262,11 @@ class Model:
 class Scorer:
     """Scores texts; keeps the gate inputs of up to ``limit`` tokens."""
 
-    def __init__(self, model: Model, limit: int = 250_000):
+    def __init__(self, model: Model, limit: int = 200_000):
         self.model, self.limit, self.at = model, limit, {}
         if model.network is not None:
             self.runner = Runner(model.network)
-            self.f, self.b = (np.zeros((limit, 6 * HIDDEN), np.float32) for _ in range(2))
+            self.f, self.b = (np.zeros((limit, 3 * HIDDEN), np.float32) for _ in range(2))
 
     def rows(self, tokens: list[str]) -> list[int]:
         rows = list(map(self.at.get, tokens))
@@ -277,7 +278,7 @@ class Scorer:
             a = len(self.at)
             if a + len(new) > self.limit:  # one huge batch: room for it
                 self.limit = len(new)
-                self.f, self.b = (np.zeros((self.limit, 6 * HIDDEN), np.float32) for _ in range(2))
+                self.f, self.b = (np.zeros((self.limit, 3 * HIDDEN), np.float32) for _ in range(2))
             self.f[a : a + len(new)], self.b[a : a + len(new)] = self.runner.project(self.model.lexicon.inputs([normal(t) for t in new]))
             self.at.update(zip(new, range(a, a + len(new)), strict=True))
             rows = list(map(self.at.__getitem__, tokens))
@@ -401,18 +402,22 @@ def train(texts: list[str], labels: np.ndarray, weight: np.ndarray, epochs: int
     return Model(whole, net.p, logistic(features(logits), labels, weight), prior, window, stride)
 
 
-def sample(labelled: DataFrame, per_label: int) -> DataFrame:
-    """text, label and weight of about ``per_label`` rows of each label (column label, 0 or 1): those whose id hashes lowest."""
-    counts = {r.label: r.n for r in labelled.where("label in (0, 1)").groupBy("label").agg(F.count("*").alias("n")).collect()}
+def sample(labels: DataFrame, per_label: int) -> DataFrame:
+    """doc_id, label and weight of about ``per_label`` rows of each label (0 or 1): those whose id hashes lowest."""
+    counts = {r.label: r.n for r in labels.where("label in (0, 1)").groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = {y: min(1.0, per_label / counts[y]) if y in counts else 1.0 for y in (0, 1)}
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     mine = F.when(F.col("label") == 1, share[1]).when(F.col("label") == 0, share[0])
-    return labelled.where(place < mine).select("doc_id", "text", "label", (F.lit(1.0) / mine).alias("weight"))
+    return labels.where(place < mine).select("doc_id", "label", (F.lit(1.0) / mine).alias("weight"))
 
 
-def fit(labelled: DataFrame, per_label: int = 1500, **options) -> Model:
-    """Learn from doc_id, text and label (0 or 1) of a bounded sample."""
-    rows = sorted(sample(labelled, per_label).collect(), key=lambda r: (str(r.doc_id), r.text or ""))
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1500, **options) -> Model:
+    """Learn from the texts of ``docs`` (doc_id, text) that a bounded sample of ``labels`` (doc_id, label) names.
+
+    The sample is drawn from the narrow label table and so small that it is sent to the texts, which stay where they lie.
+    """
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample(labels, per_label)), "doc_id")
+    rows = sorted(chosen.collect(), key=lambda r: (str(r.doc_id), r.text or ""))
     return train([r.text or "" for r in rows], np.array([r.label for r in rows]), np.array([r.weight for r in rows]), **options)
 
 
@@ -422,10 +427,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scorer.score(part.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
+        for part in slices(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scorer.score(part.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
@@ -437,9 +440,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                yield part.filter(pa.array(scorer.score(part.column(at).to_pylist()) < threshold))
+        for part in slices(batches):
+            yield part.filter(pa.array(scorer.score(part.column(at).to_pylist()) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
