@@ -107,4 +107,4 @@ def exact_dedup(docs: DataFrame, salts: int = 16, digest_bytes: int = 32) -> Dat
 def keep_first(docs: DataFrame, salts: int = 16) -> DataFrame:
     """The rows of ``docs``, all columns, that stay; of repeated rows with one doc_id each stays or goes with its id."""
     kept = exact_dedup(docs, salts).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_keep"]), "left_semi")

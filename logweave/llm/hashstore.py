@@ -104,9 +104,11 @@ class Store:
 
     def bucket(self, b: int) -> list[np.ndarray]:
         if b not in self._maps:
-            n = self.sizes.get(b, 0)
-            root = SparkFiles.get(self.fetched) if self.fetched else pafs.FileSystem.from_uri(self.folder)[1]
-            self._maps[b] = [np.memmap(os.path.join(root, f"{b}.{i}"), d, "r", shape=(n,)) if n else np.zeros(0, d) for i, d in enumerate(self.dtypes)]
+            if n := self.sizes.get(b, 0):
+                root = SparkFiles.get(self.fetched) if self.fetched else pafs.FileSystem.from_uri(self.folder)[1]
+                self._maps[b] = [np.memmap(os.path.join(root, f"{b}.{i}"), d, "r", shape=(n,)) for i, d in enumerate(self.dtypes)]
+            else:
+                self._maps[b] = [np.zeros(0, d) for d in self.dtypes]
         return self._maps[b]
 
     def contains(self, keys: np.ndarray) -> np.ndarray:

@@ -3,7 +3,7 @@ import random
 import pytest
 
 #: Columns of documents plus ones whose names could clash with the operators' own.
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _doc string, block int, key binary, weight string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _doc string, block int, key binary, weight string, _keep long, _bad long"
 
 WORDS = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota", "kappa", "lambda", "mu", "nu", "xi", "omicron", "pi", "rho", "sigma", "tau", "upsilon"]
 
@@ -14,7 +14,7 @@ def prose(rng: random.Random, n: int, words=None) -> str:
 
 
 def row(doc_id, text, lang="en", source="s"):
-    return doc_id, text, lang, source, len(text or ""), "x", 3, b"k", "w"
+    return doc_id, text, lang, source, len(text or ""), "x", 3, b"k", "w", 1, 2
 
 
 @pytest.fixture(scope="session")
