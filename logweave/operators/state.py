@@ -58,6 +58,13 @@ def file_at(span: DataFrame, position: float) -> DataFrame:
     return span.select("queue", (F.col("first_seq") + F.floor((F.col("active_seq") - F.col("first_seq") + 1) * F.lit(p)).cast("long")).alias("file_seq"))
 
 
+def file_references(items: DataFrame, applied: DataFrame) -> DataFrame:
+    """queue, file_seq, pending of files with operations that no reader has applied yet; ``applied`` has queue and lsn (up to which)."""
+    counted = items.join(F.broadcast(applied.select("queue", F.col("lsn").alias("_applied"))), "queue", "left")  # a row a queue
+    open_ = counted.where("_applied IS NULL OR lsn > _applied")
+    return open_.groupBy("queue", "file_seq").agg(F.count("*").alias("pending"))
+
+
 def live_counts(runs: DataFrame, kvs: DataFrame) -> DataFrame:
     """Live entries and key-values of each queue, as one number."""
     both = runs.select("queue", (F.col("hi") - F.col("lo") + 1).alias("n")).unionByName(kvs.select("queue", F.lit(1).cast("long").alias("n")))

@@ -168,6 +168,12 @@ _Q = {
     "total_size": (TWO, "SELECT queue, (active_seq - first_seq + 1) * 1048576 AS total_size FROM span"),
     "used_size": (TWO, "SELECT CAST(sum((active_seq - first_seq + 1) * 1048576) AS BIGINT) AS used_size FROM span"),
     "file_at": (TWO, "SELECT queue, first_seq + CAST(floor((active_seq - first_seq + 1) * 0.35) AS BIGINT) AS file_seq FROM span"),
+    "file_references": (ITEMS, "SELECT queue, file_seq, count(*) AS pending FROM items WHERE lsn > (SELECT max(lsn) - 750 FROM items) GROUP BY queue, file_seq"),
+    "region_slots": (ITEMS + """,
+        h0 AS (SELECT DISTINCT region_id, CAST(region_id AS UHUGEINT) AS x FROM items),
+        h1 AS (SELECT region_id, xor(x, x >> 30) * CAST('13787848793156543929' AS UHUGEINT) % CAST('18446744073709551616' AS UHUGEINT) AS x FROM h0),
+        h2 AS (SELECT region_id, xor(x, x >> 27) * CAST('10723151780598845931' AS UHUGEINT) % CAST('18446744073709551616' AS UHUGEINT) AS x FROM h1)""",
+        "SELECT region_id, CAST(xor(x, x >> 31) % 128 AS INTEGER) AS slot FROM h2"),
     "live_counts_by_queue": (TWO, "SELECT queue, CAST(sum(n) AS BIGINT) AS live_count FROM (SELECT queue, hi - lo + 1 AS n FROM m_runs UNION ALL SELECT queue, 1 FROM m_kvs) GROUP BY queue"),
     "garbage_ratio": (TWO, "SELECT * FROM garbage"),
     "nth_entry_file": (TWO, "SELECT r.region_id, CAST(5 AS BIGINT) AS n, file_seq FROM regions r JOIN m_ord o ON r.region_id = o.region_id WHERE 5 > before AND 5 <= upto"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import columns as C
+from ..functions.hashing import slot
 from ..operators import fold, gc, integrity, reads, recover
 from ..operators import state as S
 from ..sources import derived
@@ -323,6 +324,18 @@ def file_at(log: Log) -> DataFrame:
     return queue_int(S.file_at(log.span, 0.35))
 
 
+@query
+def file_references(log: Log) -> DataFrame:
+    applied = log.items.groupBy("queue").agg((F.max("lsn") - 750).alias("lsn"))
+    return queue_int(S.file_references(log.items, applied))
+
+
+@query
+def region_slots(log: Log) -> DataFrame:
+    ids = log.items.select("region_id").distinct()
+    return ids.select("region_id", slot(F.col("region_id")).alias("slot"))
+
+
 @query
 def live_counts_by_queue(log: Log) -> DataFrame:
     return queue_int(S.live_counts(log.merged_runs, log.merged_kvs))
