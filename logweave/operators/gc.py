@@ -18,11 +18,11 @@ FORCE_AFTER = 9
 
 def needs_rewrite(span: DataFrame, garbage: DataFrame, target_file_size: int, purge_threshold: int, rewrite_threshold: int, ratio: float) -> DataFrame:
     """queue, needs_rewrite: more than one file, over the threshold, and for the rewrite queue enough garbage."""
-    sized = span.join(S.total_size(span, target_file_size), "queue").crossJoin(garbage.select("ratio"))  # two rows by one
+    sized = span.join(S.total_size(span, target_file_size), "queue").join(garbage.select(F.lit(1).cast("tinyint").alias("queue"), "ratio"), "queue", "left")
     many = F.col("active_seq") > F.col("first_seq")
     append = F.col("total_size") > F.lit(purge_threshold)
     rewrite = (F.col("total_size") > F.lit(rewrite_threshold)) & (F.col("ratio") > F.lit(ratio))
-    return sized.select("queue", (many & F.when(F.col("queue") == 0, append).otherwise(rewrite)).alias("needs_rewrite"))
+    return sized.select("queue", (many & F.coalesce(F.when(F.col("queue") == 0, append).otherwise(rewrite), F.lit(False))).alias("needs_rewrite"))
 
 
 def append_watermarks(span: DataFrame) -> DataFrame:
@@ -91,9 +91,10 @@ def apply_rewrite_keys(kvs: DataFrame, rewritten: DataFrame, gate: int | None, s
 
 def purge_point(state: DataFrame, span: DataFrame, barrier: int | None = None) -> DataFrame:
     """For each queue the file below which nothing is needed: the oldest live one, the active one or the barrier."""
-    least = state.agg(F.min("min_append_seq").alias("a"), F.min("min_rewrite_seq").alias("r"))
+    live = F.array(F.struct(F.lit(0).cast("tinyint").alias("queue"), F.col("a").alias("live_seq")), F.struct(F.lit(1).cast("tinyint").alias("queue"), F.col("r").alias("live_seq")))
+    least = state.agg(F.min("min_append_seq").alias("a"), F.min("min_rewrite_seq").alias("r")).select(F.inline(live))
     cap = F.least("active_seq", F.lit(barrier).cast("long")) if barrier is not None else F.col("active_seq")
-    return span.crossJoin(least).select("queue", F.least(F.when(F.col("queue") == 0, F.col("a")).otherwise(F.col("r")), cap).alias("purge_seq"))  # two rows by one
+    return span.join(least, "queue", "left").select("queue", F.least("live_seq", cap).alias("purge_seq"))
 
 
 def purgeable_files(items: DataFrame, points: DataFrame) -> DataFrame:

@@ -74,9 +74,12 @@ def live_counts(runs: DataFrame, kvs: DataFrame) -> DataFrame:
 def garbage_ratio(items: DataFrame, runs: DataFrame, kvs: DataFrame) -> DataFrame:
     """written, deleted and their ratio for the rewrite queue; 0 / 0 is no garbage."""
     size = F.when(F.col("kind") == "ENTRIES", F.col("last_index") - F.col("first_index") + 1).when(F.col("kind") == "PUT", F.lit(1)).otherwise(F.lit(0))
-    written = items.where("queue = 1").agg(F.coalesce(F.sum(size), F.lit(0)).alias("written"))
-    live = live_counts(runs, kvs).where("queue = 1").agg(F.coalesce(F.sum("live_count"), F.lit(0)).alias("live"))
-    return written.crossJoin(live).select("written", (F.col("written") - F.col("live")).alias("deleted"), F.coalesce(F.try_divide(F.col("written") - F.col("live"), F.col("written")), F.lit(0.0)).alias("ratio"))  # one row each
+    zero = F.lit(0).cast("long")
+    written = items.where("queue = 1").select(size.cast("long").alias("w"), zero.alias("l"))
+    live = live_counts(runs, kvs).where("queue = 1").select(zero.alias("w"), F.col("live_count").alias("l"))
+    total = written.unionByName(live).agg(F.coalesce(F.sum("w"), zero).alias("written"), F.coalesce(F.sum("l"), zero).alias("live"))
+    deleted = F.col("written") - F.col("live")
+    return total.select("written", deleted.alias("deleted"), F.coalesce(F.try_divide(deleted, F.col("written")), F.lit(0.0)).alias("ratio"))
 
 
 def nth_entry_seq(runs: DataFrame, n: DataFrame) -> DataFrame:
