@@ -67,7 +67,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_passages(documents(spark, sf_dir))
+    found = substring_dedup.repeated_passages(documents(spark, sf_dir))
+    return found.withColumn("has_repeats", (F.col("n_repeated") > 0) | (F.col("n_shared") > 0))
 
 
 #: SQL text, with the white space of the contracts spelt out.

@@ -164,8 +164,9 @@ def plain_passages(rows, shape):
     units = []
     for n, (i, t) in enumerate(rows):
         p = substring_dedup.Paragraphs([(t or "").encode()], shape)
+        words = WORD.findall(lower(t))
         for at, unit in zip(p.at, p.unit, strict=True):
-            w = WORD.findall(lower(t))[at : at + shape.words]
+            w = words[at : at + shape.words]
             units.append((n, substring_dedup.NULL_ID if i is None else i, int(at), int(unit), frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4))))
     kinds = {u[3]: u[4] for u in units}
     names = sorted(kinds)
@@ -214,3 +215,18 @@ def test_passages(spark, table):
 def test_band_tuning():
     bands, rows = substring_dedup.tune_bands(0.8, 0.997, 12)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.997 and bands * rows <= 12
+
+
+def test_clusters_lose_no_link():
+    rng = random.Random(9)
+    for _ in range(60):
+        families = [[str(rng.randrange(60)) for _ in range(26)] for _ in range(3)]
+        sets = []
+        for _ in range(40):
+            s = list(rng.choice(families))
+            for _ in range(rng.randrange(6)):
+                s[rng.randrange(26)] = str(rng.randrange(60))
+            sets.append(frozenset(s[: rng.choice([26, 26, 20, 1])]))
+        pairs = [(a, b) for a in range(40) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+        got = substring_dedup.cluster(list(range(40)), sets, 0.8)
+        assert plain_components(range(40), got) == plain_components(range(40), pairs) and len(got) < 40
