@@ -118,7 +118,7 @@ def repair(items: DataFrame, decide: Filter) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*out.columns, flags], [*names, "inserted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields) + ", inserted boolean"
-    ordered = items.repartition("region_id").sortWithinPartitions("region_id", "queue", "lsn") if "queue" in names else items
+    ordered = items.repartition("region_id").sortWithinPartitions("region_id", F.desc("queue"), "file_seq", "lsn")  # rewritten items are the older ones
     kept = ordered.mapInArrow(run, schema)
     null = lambda c: F.when(F.col("inserted"), F.lit(None)).otherwise(F.col(c)).alias(c)
     change = {"kind": F.when(F.col("inserted"), "COMPACT").otherwise(F.col("kind")).alias("kind"), "first_index": F.when(F.col("inserted"), F.lit(MAX_INDEX)).otherwise(F.col("first_index")).alias("first_index")}

@@ -289,6 +289,7 @@ class LogEngine:
     def repair(self, decide: integrity.Filter, to: str) -> LogEngine:
         """A repaired copy of the log at ``to``."""
         kept = integrity.repair(self.items, decide)
+        kept = kept.withColumn("lsn", F.col("lsn") * 2 + F.when(F.col("inserted"), 0).otherwise(1))  # room for what was inserted before an item
         kept.withColumn("payloads", F.when(~F.col("inserted"), F.col("payloads"))).drop("inserted").write.partitionBy("queue", "file_seq").parquet(to)
         return LogEngine(self.spark, to, self.config)
 
