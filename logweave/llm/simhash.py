@@ -35,6 +35,7 @@ from .components import components, forest
 U = np.uint64
 SHIFTS, WIDTHS = (0, 22, 43), (22, 21, 21)
 PAIRWISE = 1024
+HOT = 1000
 
 
 def fingerprint(text: bytes, n: int = 3, seed: int = 42) -> int:
@@ -178,18 +179,24 @@ def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
     yield None
 
 
-def simhash_classes(docs: DataFrame) -> DataFrame:
+def simhash_classes(docs: DataFrame, hot_rows: int = 8) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) and component_id of every row of ``docs``."""
     prints = materialise(fingerprints(docs), "fingerprints")
-    distinct = materialise(prints.groupBy("fp").agg(F.min(F.array_min("ids")).alias("first_id")), "distinct")
+    distinct = materialise(prints.groupBy("fp").agg(F.min(F.array_min("ids")).alias("first_id"), F.count("*").alias("n")), "distinct")
     roots = components(near_links(distinct))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", "root")
     joined = distinct.join(roots.select("root").distinct(), distinct.fp == F.col("root"), "left_semi")
     linked = rooted.where("root is not null").unionByName(joined.select("fp", "first_id", F.col("fp").alias("root")))
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = linked.join(least, "root").select("fp", "component_id")
-    classes = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return prints.join(classes, "fp").select(F.explode("ids").alias("doc_id"), "fp", "component_id")
+    classes = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"), "n")
+    # fingerprints with a thousandth of all rows or more are at most HOT; they are sent to their rows, which stay spread out
+    least = max(hot_rows, prints.count() // HOT + 1)
+    hot = F.broadcast(classes.where(F.col("n") >= least).select("fp", F.struct("component_id").alias("known")))
+    marked = prints.join(hot, "fp", "left")
+    cold = marked.where("known IS NULL").drop("known").join(classes.where(F.col("n") < least).drop("n"), "fp")
+    rows = marked.where("known IS NOT NULL").select("ids", "fp", "known.component_id").unionByName(cold)
+    return rows.select(F.explode("ids").alias("doc_id"), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
