@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from logweave.llm import components, exact_dedup, line_dedup, simhash, substring_dedup
+from logweave.llm import components, exact_dedup, line_dedup, near_dedup, simhash, substring_dedup
 
 from .conftest import ODD, prose
 
@@ -131,6 +131,31 @@ def test_components(spark):
     assert components.components(df.limit(0)).collect() == []
 
 
+def test_near_sets(spark, table):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, rng.randrange(2, 90))) for i in range(30)] + [(30, "a b"), (31, "A  b"), (32, "a b c")]
+    for i in range(150):  # chains of edits, so that many pairs lie on either side of the threshold
+        words = rng.choice(rows)[1].split()
+        for _ in range(rng.randrange(1, 3)):
+            words[rng.randrange(len(words))] = f"changed{rng.randrange(5)}"
+        rows.append((100 + i, " ".join(words)))
+    rows += ODD
+    sets = []
+    for _, t in rows:
+        w = WORD.findall(lower(t))
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset())
+    kinds = list(dict.fromkeys(sets))
+    linked = plain_components(range(len(kinds)), [(a, b) for b in range(len(kinds)) for a in range(b) if len(kinds[a] & kinds[b]) >= 0.8 * len(kinds[a] | kinds[b])])
+    classes = defaultdict(set)
+    for (i, _), s in zip(rows, sets, strict=True):
+        classes[linked[kinds.index(s)]].add((i is None, i or 0))
+    assert 60 < len(classes) < len(kinds) - 10
+    got = near_dedup.keep_one(table(rows))
+    assert got.columns == table([]).columns
+    assert {(r.doc_id is None, r.doc_id or 0) for r in got.collect()} == {min(c) for c in classes.values()}
+    assert near_dedup.keep_one(table([])).collect() == []
+
+
 # ---- lines
 
 

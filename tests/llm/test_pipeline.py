@@ -56,3 +56,15 @@ def test_run_and_queries(spark, corpus):
     for name, f in queries.queries().items():
         df = f(spark, corpus)
         assert want.get(name.split("_")[0], {"doc_id"}) <= set(df.columns) and df.count() == 230
+
+
+def test_near_copies_go(spark, tmp_path):
+    rng = random.Random(12)
+    base = [prose(rng, rng.randrange(60, 200)) for _ in range(20)]
+    docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(base)]
+    for i, t in enumerate(base[:12]):  # one word changed in the middle
+        words = t.split()
+        words[len(words) // 2] = "changed"
+        docs.append((100 + i, " ".join(words), "en", "s", 1))
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), str(tmp_path))
+    assert sorted(r.doc_id for r in out.collect()) == list(range(20))
