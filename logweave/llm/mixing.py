@@ -98,7 +98,10 @@ def solve(of, n_sources: int, target: Target) -> float:
 
 
 def mix(docs: DataFrame, target: Target = Target(), block_docs: int = 4096, seed: int = 1) -> DataFrame:
-    """doc_id, source, tokens, weight (of its source), copies and place (order within its last pass) of each row of ``docs``."""
+    """doc_id, source, tokens, weight (of its source), copies, exponent, turn, block and place of each row of ``docs``.
+
+    Within a source (turn, block, place, doc_id) is the order of each pass: blocks by turn, in each its documents by place.
+    """
     rows = materialise(count_tokens(docs), "tokens")
     sources = materialise(rows.groupBy("source").agg(F.sum("tokens").alias("total"), F.count("*").alias("n")), "sources")
     whole, n = sources.where("total > 0").agg(F.sum("total"), F.count("*")).first()
@@ -110,14 +113,14 @@ def mix(docs: DataFrame, target: Target = Target(), block_docs: int = 4096, seed
     plan = plan.select("source", "weight", F.floor(F.col("quota") / F.col("total")).cast("long").alias("passes"), F.ceil(F.col("n") / F.lit(block_docs)).cast("long").alias("n_blocks"), F.pmod("quota", "total").alias("rest"))
     planned = rows.join(plan, "source", "left")
     planned = planned.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.coalesce("n_blocks", F.lit(1)))).withColumn("place", F.xxhash64(F.lit(seed + 1), "doc_id"))
-    turn = F.xxhash64(F.lit(seed + 2), "source", "block")
-    sums = planned.where("rest > 0").groupBy("source", "block").agg(F.sum("tokens").alias("size"), F.first("rest").alias("rest"))
-    before = F.sum("size").over(Window.partitionBy("source").orderBy(turn, "block").rowsBetween(Window.unboundedPreceding, -1))
+    planned = planned.withColumn("turn", F.xxhash64(F.lit(seed + 2), "source", "block"))
+    sums = planned.where("rest > 0").groupBy("source", "block", "turn").agg(F.sum("tokens").alias("size"), F.first("rest").alias("rest"))
+    before = F.sum("size").over(Window.partitionBy("source").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, -1))
     blocks = sums.withColumn("before", F.coalesce(before, F.lit(0))).select("source", "block", "before", (F.col("rest") - F.coalesce(before, F.lit(0))).alias("room"), "size")
     placed = planned.join(blocks.select("source", "block", "room", "size"), ["source", "block"], "left")
     inside = F.sum("tokens").over(Window.partitionBy("source", "block").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
     boundary = (F.col("room") > 0) & (F.col("room") < F.col("size"))
     cut = placed.where(boundary).withColumn("more", (F.coalesce(inside, F.lit(0)) < F.col("room")).cast("long"))
     sure = placed.where(~F.coalesce(boundary, F.lit(False))).withColumn("more", F.coalesce((F.col("room") > 0).cast("long"), F.lit(0)))
-    columns = ["doc_id", "source", "tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), (F.coalesce("passes", F.lit(0)) + F.col("more")).alias("copies"), F.lit(exponent).alias("exponent"), "place"]
+    columns = ["doc_id", "source", "tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), (F.coalesce("passes", F.lit(0)) + F.col("more")).alias("copies"), F.lit(exponent).alias("exponent"), "turn", "block", "place"]
     return sure.select(*columns).unionByName(cut.select(*columns))

@@ -312,3 +312,13 @@ def test_mixing(spark, table):
     assert mixing.mix(table([])).collect() == []
     silent = mixing.mix(table([(1, ""), (2, None)])).collect()
     assert [r.copies for r in silent] == [0, 0]
+
+
+def test_mixing_order_can_be_replayed(spark, table):
+    rng = random.Random(14)
+    rows = [(i, "word " * rng.randrange(1, 9), "en", rng.choice("aab")) for i in range(300)]
+    got = mixing.mix(table(rows), mixing.Target(0.95, 2.0, 0.8), block_docs=16).collect()
+    for source in "ab":
+        copies = [r.copies for r in sorted((r for r in got if r.source == source), key=lambda r: (r.turn, r.block, r.place, r.doc_id))]
+        assert copies == sorted(copies, reverse=True)  # the last pass takes a prefix
+    assert len({r.block for r in got}) > 5 and {r.copies for r in got if r.source == "a"} == {0, 1}
