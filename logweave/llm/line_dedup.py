@@ -2,7 +2,7 @@
 
 The hashes of the long lines are range-partitioned by (key, document) and sorted within a key by
 document, largest first, then position. The first document of a key is the one that keeps its
-lines. Because the range bounds include the document, a line that a third of all documents hold is
+lines; a grouped maximum finds it, so nothing relies on the order of the sorted rows. Because the range bounds include the document, a line that a third of all documents hold is
 spread over many tasks; the per-key count and first document are combined map-side before the one
 exchange by key. What comes back for a document is no text but its keep bitmap, compressed to the
 runs of dropped lines, and the text is cut once, where it lies.
