@@ -6,6 +6,10 @@ is left of its run lies from the largest later COMPACT index up to just before t
 ENTRIES start. Rows are therefore read newest first, so that "later" is a frame that grows from the
 start of the partition and each window is linear.
 
+A region's log is cut into chunks of ``CHUNK`` log positions, dealt over all tasks: each chunk is
+folded by itself, and what a region's other chunks do to it is a row a chunk. So no region, however
+many of all rows it holds, is one task's work.
+
 Runs are clipped, never exploded, until entries are asked for.
 """
 
@@ -13,10 +17,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import is_entries, is_internal
 
 RUNS = ["region_id", "lsn", "queue", "file_seq", "lo", "hi"]
+#: Log positions of a chunk.
+CHUNK = 1 << 20
+BY = ["region_id", "chunk"]
 
 
 def _terms() -> dict[str, Column]:
@@ -27,48 +35,55 @@ def _terms() -> dict[str, Column]:
     }
 
 
+def chunked(items: DataFrame, chunk: int) -> DataFrame:
+    """``items`` with their chunk, partitioned by region and chunk; ``lsn`` is a number or (stage, lsn)."""
+    of = lambda lsn: F.floor(F.col(lsn) / F.lit(chunk)).cast("long")
+    staged = isinstance(items.schema["lsn"].dataType, T.StructType)
+    return items.withColumn("chunk", F.struct(F.col("lsn.stage").alias("stage"), of("lsn.lsn").alias("n")) if staged else of("lsn")).repartition(*BY)
+
+
 def _clip(alive: Column, later_start: Column, later_floor: Column) -> tuple[Column, Column, Column]:
     lo = F.greatest("first_index", F.coalesce(later_floor, F.col("first_index")))
     hi = F.least("last_index", F.coalesce(later_start - 1, F.col("last_index")))
     return lo, hi, is_entries(F.col("kind")) & alive & (lo <= hi)
 
 
-def live_runs(items: DataFrame, holes: bool = False) -> DataFrame:
-    """Live index runs: region_id, lsn, queue, file_seq, lo, hi.
-
-    With ``holes`` (replay of a rewritten queue) a run that starts beyond the one before it empties the region first;
-    without, the log is taken to be free of holes (``strict_violations`` tells).
-    """
-    newest = Window.partitionBy("region_id").orderBy(F.desc("lsn"))
-    later = newest.rowsBetween(Window.unboundedPreceding, -1)
+def _later(items: DataFrame, holes: bool, chunk: int) -> DataFrame:
+    """``items`` with what comes later in their region: _dead (a clean, or with ``holes`` a run beyond a hole), the smallest
+    _start and the largest _floor."""
     t = _terms()
+    cut = chunked(items, chunk)
+    newest = Window.partitionBy(*BY).orderBy(F.desc("lsn"))
+    across = Window.partitionBy("region_id").orderBy(F.desc("chunk"))
+    before = newest.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = across.rowsBetween(Window.unboundedPreceding, -1)
     if holes:
-        before = F.expr("lead(CASE WHEN kind = 'ENTRIES' THEN last_index END) IGNORE NULLS OVER (PARTITION BY region_id ORDER BY lsn DESC)")
-        items = items.withColumn("_wipes", t["cleans"] | F.coalesce(is_entries(F.col("kind")) & (F.col("first_index") > before + 1), F.lit(False)))
+        last = F.expr("lead(CASE WHEN kind = 'ENTRIES' THEN last_index END) IGNORE NULLS OVER (PARTITION BY region_id, chunk ORDER BY lsn DESC)")
+        cut = cut.withColumn("_wipes", t["cleans"] | F.coalesce(is_entries(F.col("kind")) & (F.col("first_index") > last + 1), F.lit(False)))
     else:
-        items = items.withColumn("_wipes", t["cleans"])
-    dead = F.coalesce(F.max("_wipes").over(later), F.lit(False))
-    lo, hi, keep = _clip(~F.col("_dead"), F.col("_start"), F.col("_floor"))
-    folded = items.select("*", dead.alias("_dead"), F.min(t["starts"]).over(later).alias("_start"), F.max(t["floor"]).over(later).alias("_floor"))
-    return folded.where(keep).select("region_id", "lsn", "queue", "file_seq", lo.alias("lo"), hi.alias("hi"))
+        cut = cut.withColumn("_wipes", t["cleans"])
+    summary = cut.groupBy(*BY).agg(
+        F.max("_wipes").alias("w"), F.min(t["starts"]).alias("s"), F.max(t["floor"]).alias("f"),
+        F.min(F.when(is_entries(F.col("kind")), F.struct("lsn", F.col("first_index").alias("i")))).alias("a"),
+        F.max(F.when(is_entries(F.col("kind")), F.struct("lsn", F.col("last_index").alias("i")))).alias("b"),
+    )
+    if holes:  # a chunk whose first run lies beyond a hole wipes all earlier chunks
+        prev = F.expr("lead(b.i) IGNORE NULLS OVER (PARTITION BY region_id ORDER BY chunk DESC)")
+        summary = summary.withColumn("w", F.col("w") | F.coalesce(F.col("a.i") > prev + 1, F.lit(False)))
+    later = summary.select(*BY, F.max("w").over(ahead).alias("_w"), F.min("s").over(ahead).alias("_s"), F.max("f").over(ahead).alias("_f"))
+    own = cut.select("*", F.max("_wipes").over(before).alias("_ow"), F.min(t["starts"]).over(before).alias("_os"), F.max(t["floor"]).over(before).alias("_of"))
+    no = F.lit(False)
+    return own.join(later, BY).withColumns({"_dead": F.coalesce("_ow", no) | F.coalesce("_w", no), "_start": F.least("_os", "_s"), "_floor": F.greatest("_of", "_f")})
 
 
-def live_runs_chunked(items: DataFrame, chunk: int) -> DataFrame:
-    """``live_runs`` (without holes) for logs in which one region may hold much of all rows.
+def live_runs(items: DataFrame, holes: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """Live index runs: region_id, lsn, queue, file_seq, lo, hi.
 
-    A region's log is cut into chunks of ``chunk`` log positions; each is folded by itself, with what the region's later
-    chunks do to it, which is one row a chunk.
+    With ``holes`` (replay of a rewritten queue) a run that starts beyond the one before it empties the region first;
+    without, the log is taken to be free of holes (``strict_violations`` tells).
     """
-    t = _terms()
-    cut = items.withColumn("chunk", F.floor(F.col("lsn") / F.lit(chunk)))
-    summary = cut.groupBy("region_id", "chunk").agg(F.max(t["cleans"]).alias("c"), F.min(t["starts"]).alias("s"), F.max(t["floor"]).alias("f"))
-    after = Window.partitionBy("region_id").orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    later = summary.select("region_id", "chunk", F.max("c").over(after).alias("later_c"), F.min("s").over(after).alias("later_s"), F.max("f").over(after).alias("later_f"))
-    inside = Window.partitionBy("region_id", "chunk").orderBy(F.desc("lsn")).rowsBetween(Window.unboundedPreceding, -1)
-    folded = cut.select("*", F.max(t["cleans"]).over(inside).alias("c"), F.min(t["starts"]).over(inside).alias("s"), F.max(t["floor"]).over(inside).alias("f")).join(later, ["region_id", "chunk"])
-    alive = ~(F.coalesce("c", F.lit(False)) | F.coalesce("later_c", F.lit(False)))
-    lo, hi, keep = _clip(alive, F.least("s", "later_s"), F.greatest("f", "later_f"))
-    return folded.where(keep).select("region_id", "lsn", "queue", "file_seq", lo.alias("lo"), hi.alias("hi"))
+    lo, hi, keep = _clip(~F.col("_dead"), F.col("_start"), F.col("_floor"))
+    return _later(items, holes, chunk).where(keep).select("region_id", "lsn", "queue", "file_seq", lo.alias("lo"), hi.alias("hi"))
 
 
 def live_entries(runs: DataFrame) -> DataFrame:
@@ -102,11 +117,9 @@ def cleaned_regions(items: DataFrame) -> DataFrame:
     return last.where("w.kind = 'CLEAN'").select("region_id", F.col("w.lsn").alias("clean_lsn"), "w.file_seq")
 
 
-def lost_entries(items: DataFrame) -> DataFrame:
+def lost_entries(items: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """How many entries of each ENTRIES row later runs overwrote, compactions dropped and cleans removed."""
-    later = Window.partitionBy("region_id").orderBy(F.desc("lsn")).rowsBetween(Window.unboundedPreceding, -1)
-    t = _terms()
-    folded = items.select("*", F.coalesce(F.max(t["cleans"]).over(later), F.lit(False)).alias("_dead"), F.min(t["starts"]).over(later).alias("_start"), F.max(t["floor"]).over(later).alias("_floor")).where(is_entries(F.col("kind")))
+    folded = _later(items, False, chunk).where(is_entries(F.col("kind")))
     size = F.col("last_index") - F.col("first_index") + 1
     hi = F.least("last_index", F.coalesce(F.col("_start") - 1, F.col("last_index")))
     left = F.greatest(F.lit(0), hi - F.col("first_index") + 1)
@@ -121,26 +134,51 @@ def lost_entries(items: DataFrame) -> DataFrame:
     )
 
 
-def strict_violations(items: DataFrame) -> DataFrame:
+def _carry(summary: DataFrame, marker: str, *measures: str) -> DataFrame:
+    """For each chunk what a region's earlier chunks leave: the last ``marker`` that isn't null, and the largest of each
+    measure from its chunk on (a chunk's measures are those of its rows after its last marker)."""
+    by = Window.partitionBy("region_id").orderBy("chunk")
+    upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    since = Window.partitionBy("region_id", "_g").orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    grown = summary.select(*BY, *measures, F.count(marker).over(upto).alias("_g"), F.last(marker, True).over(upto).alias(marker))
+    grown = grown.select(*BY, marker, *(F.max(m).over(since).alias(m) for m in measures))
+    return grown.select(*BY, *(F.lag(c).over(by).alias(f"carry_{c}") for c in (marker, *measures)))
+
+
+def strict_violations(items: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """ENTRIES rows that leave a hole or write below the first index, as a strict append would refuse them.
 
     region_id, lsn, first_index, expected_last, expected_first, reason ('hole' or 'compacted'). A refused row starts the
     region anew, so that one fault is reported once.
     """
-    by = Window.partitionBy("region_id").orderBy("lsn")
-    so_far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    cut = chunked(items.select("region_id", "lsn", "kind", "first_index", "last_index"), chunk)
+    by, back = Window.partitionBy(*BY).orderBy("lsn"), Window.partitionBy(*BY).orderBy(F.desc("lsn"))
+    so_far, before = by.rowsBetween(Window.unboundedPreceding, Window.currentRow), by.rowsBetween(Window.unboundedPreceding, -1)
+    after = back.rowsBetween(Window.unboundedPreceding, -1)
     entry = is_entries(F.col("kind"))
-    a = items.select("region_id", "lsn", "kind", "first_index", "last_index", F.last(F.when(entry, F.col("last_index")), True).over(before).alias("prev_last"), F.count(F.when(entry, 1)).over(before).alias("run"))
-    run = Window.partitionBy("region_id", "run").orderBy("lsn").rowsBetween(Window.unboundedPreceding, -1)
-    compact = F.max(F.when(F.col("kind") == "COMPACT", F.col("first_index"))).over(run)
-    cleaned = F.max(F.col("kind") == "CLEAN").over(run)
-    b = a.withColumn("filled", F.col("prev_last").isNotNull() & ~F.coalesce(cleaned, F.lit(False)) & F.coalesce(compact <= F.col("prev_last"), F.lit(True)))
-    b = b.withColumn("fresh", entry & ~F.coalesce(F.col("filled") & (F.col("first_index") <= F.col("prev_last") + 1), F.lit(False)))
-    c = b.withColumn("life", F.count(F.when(F.col("fresh"), 1)).over(so_far))
-    life = Window.partitionBy("region_id", "life").orderBy("lsn").rowsBetween(Window.unboundedPreceding, -1)
-    floor = F.greatest(F.first(F.when(F.col("fresh"), F.col("first_index")), True).over(life), F.coalesce(F.max(F.when(F.col("kind") == "COMPACT", F.col("first_index"))).over(life), F.lit(0)))
-    d = c.withColumn("floor", F.when(~F.col("fresh"), floor)).where(entry)
-    hole = F.col("filled") & (F.col("first_index") > F.col("prev_last") + 1)
+    floor, clean = F.when(F.col("kind") == "COMPACT", F.col("first_index")), F.col("kind") == "CLEAN"
+    # what lies before each run: the run before it, compactions and cleans since
+    no = F.lit(False)
+    a = cut.select("*", F.last(F.when(entry, F.col("last_index")), True).over(before).alias("prev"), F.count(F.when(entry, 1)).over(before).alias("run"), F.count(F.when(entry, 1)).over(after).alias("ahead"))
+    tail = a.groupBy(*BY).agg(F.max(F.when(entry, F.struct("lsn", F.col("last_index").alias("i"))))["i"].alias("prev"), F.max(F.when(F.col("ahead") == 0, floor)).alias("compact"), F.max(F.when(F.col("ahead") == 0, clean)).alias("clean"))
+    run = Window.partitionBy(*BY, "run").orderBy("lsn").rowsBetween(Window.unboundedPreceding, -1)
+    b = a.select("*", F.max(floor).over(run).alias("compact"), F.max(clean).over(run).alias("clean")).join(_carry(tail, "prev", "compact", "clean"), BY)
+    first = F.col("run") == 0
+    b = b.withColumns({
+        "prev": F.coalesce("prev", "carry_prev"),
+        "compact": F.when(first, F.greatest("compact", "carry_compact")).otherwise(F.col("compact")),
+        "clean": F.coalesce("clean", no) | (first & F.coalesce("carry_clean", no)),
+    })
+    b = b.withColumn("filled", F.col("prev").isNotNull() & ~F.col("clean") & F.coalesce(F.col("compact") <= F.col("prev"), F.lit(True)))
+    b = b.withColumn("fresh", entry & ~F.coalesce(F.col("filled") & (F.col("first_index") <= F.col("prev") + 1), no))
+    # the first index since the region last started anew
+    c = b.select(*cut.columns, "prev", "filled", "fresh", F.count(F.when(F.col("fresh"), 1)).over(so_far).alias("life"), F.count(F.when(F.col("fresh"), 1)).over(after).alias("ahead"))
+    tail = c.groupBy(*BY).agg(F.max(F.when(F.col("fresh"), F.struct("lsn", F.col("first_index").alias("i"))))["i"].alias("start"), F.max(F.when(F.col("ahead") == 0, floor)).alias("raised"))
+    life = Window.partitionBy(*BY, "life").orderBy("lsn").rowsBetween(Window.unboundedPreceding, -1)
+    d = c.select("*", F.first(F.when(F.col("fresh"), F.col("first_index")), True).over(life).alias("start"), F.max(floor).over(life).alias("raised")).join(_carry(tail, "start", "raised"), BY)
+    old = F.col("life") == 0
+    start, raised = F.when(old, F.col("carry_start")).otherwise(F.col("start")), F.when(old, F.greatest("raised", "carry_raised")).otherwise(F.col("raised"))
+    e = d.where(entry).withColumn("floor", F.when(~F.col("fresh"), F.greatest(start, F.coalesce(raised, F.lit(0)))))
+    hole = F.col("filled") & (F.col("first_index") > F.col("prev") + 1)
     below = ~F.col("fresh") & (F.col("first_index") < F.col("floor"))
-    return d.where(hole | below).select("region_id", "lsn", "first_index", F.col("prev_last").alias("expected_last"), F.col("floor").alias("expected_first"), F.when(hole, "hole").otherwise("compacted").alias("reason"))
+    return e.where(hole | below).select("region_id", "lsn", "first_index", F.col("prev").alias("expected_last"), F.col("floor").alias("expected_first"), F.when(hole, "hole").otherwise("compacted").alias("reason"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import state as S
@@ -70,8 +70,8 @@ def apply_rewrite(runs: DataFrame, rewritten: DataFrame, gate: int | None, seq:
     joined = runs.join(span, "region_id", "left")
     blocks = (F.col("file_seq") > gate) if gate is not None else (F.col("queue") == 0)
     within = (F.col("hi") >= F.col("a")) & (F.col("lo") <= F.col("b"))
-    stop = F.min(F.when(within & blocks, F.greatest("lo", "a"))).over(Window.partitionBy("region_id"))
-    cut = joined.withColumn("upto", F.least("b", F.coalesce(stop - 1, F.col("b"))))
+    stops = joined.where(within & blocks).groupBy("region_id").agg(F.min(F.greatest("lo", "a")).alias("_stop"))
+    cut = joined.join(stops, "region_id", "left").withColumn("upto", F.least("b", F.coalesce(F.col("_stop") - 1, F.col("b"))))
     parts = F.array(
         F.struct(F.col("lo").alias("lo"), F.least("hi", F.coalesce(F.col("a") - 1, F.col("hi"))).alias("hi"), "queue", "file_seq"),
         F.struct(F.greatest("lo", "a").alias("lo"), F.when(F.col("a").isNotNull(), F.least("hi", "upto")).alias("hi"), F.lit(1).cast("tinyint").alias("queue"), F.lit(seq).cast("long").alias("file_seq")),

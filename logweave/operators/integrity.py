@@ -11,16 +11,22 @@ from pyspark.sql import functions as F
 
 from ..errors import Corruption
 from ..functions.columns import MAX_INDEX
+from .fold import CHUNK
 
 
-def consistency_check(items: DataFrame) -> DataFrame:
+def consistency_check(items: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """region_id, last_valid of regions whose runs leave a hole: the last index before the first one.
 
     Compactions and cleans are not looked at, and a loss at the head or tail can't be seen. Where both queues have a
-    hole the rewrite queue's is told.
+    hole the rewrite queue's is told. A region's log is looked at in chunks (see ``fold``).
     """
-    before = F.lag("last_index").over(Window.partitionBy("queue", "region_id").orderBy("lsn"))
-    broken = items.where("kind = 'ENTRIES'").withColumn("prev", before).where("prev + 1 < first_index")
+    by = ["queue", "region_id", "chunk"]
+    runs = items.where("kind = 'ENTRIES'").select("queue", "region_id", "lsn", "first_index", "last_index")
+    cut = runs.withColumn("chunk", F.floor(F.col("lsn") / F.lit(chunk)).cast("long")).repartition(*by)
+    ends = cut.groupBy(*by).agg(F.max_by("last_index", "lsn").alias("end"))
+    before = ends.select(*by, F.lag("end").over(Window.partitionBy("queue", "region_id").orderBy("chunk")).alias("carry"))
+    inside = F.lag("last_index").over(Window.partitionBy(*by).orderBy("lsn"))
+    broken = cut.withColumn("prev", inside).join(before, by).withColumn("prev", F.coalesce("prev", "carry")).where("prev + 1 < first_index")
     by_queue = broken.groupBy("region_id", "queue").agg(F.min_by("prev", "lsn").alias("prev"))
     return by_queue.groupBy("region_id").agg(F.max_by("prev", "queue").alias("last_valid"))
 

@@ -87,8 +87,9 @@ def decode(kvs: DataFrame, parse: Column, strict: bool) -> DataFrame:
 
 def entries_before(runs: DataFrame, gate: int) -> DataFrame:
     """Runs of the leading append entries whose file is at most ``gate``: the first newer one ends them."""
-    first_newer = F.min(F.when((F.col("queue") == 0) & (F.col("file_seq") > gate), F.col("lo"))).over(Window.partitionBy("region_id"))
-    return runs.withColumn("_stop", first_newer).where("queue = 0 AND (_stop IS NULL OR lo < _stop)").where(F.col("file_seq") <= gate).drop("_stop")
+    newer = runs.where((F.col("queue") == 0) & (F.col("file_seq") > gate)).groupBy("region_id").agg(F.min("lo").alias("_stop"))  # a row a region
+    old = runs.where((F.col("queue") == 0) & (F.col("file_seq") <= gate))
+    return old.join(newer, "region_id", "left").where("_stop IS NULL OR lo < _stop").select(*runs.columns)
 
 
 def rewritten_entries(runs: DataFrame) -> DataFrame:

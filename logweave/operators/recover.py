@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fold import RUNS, live_kvs, live_runs
+from .fold import CHUNK, RUNS, live_kvs, live_runs
 
 # fixed values: markers of atomic groups
 BEGIN, MIDDLE, END = 0, 1, 2
@@ -22,12 +22,13 @@ def _staged(rewrite: DataFrame, append: DataFrame, tombstones: tuple[str, ...])
     return rewrite.withColumn("lsn", order(0)).unionByName(append.where(F.col("kind").isin(*tombstones)).withColumn("lsn", order(1)))
 
 
-def recover_runs(rewrite: DataFrame, append: DataFrame) -> DataFrame:
-    old = live_runs(_staged(rewrite, append, ("CLEAN", "COMPACT")), holes=True).withColumn("lsn", F.col("lsn.lsn"))
-    new = live_runs(append)
+def recover_runs(rewrite: DataFrame, append: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    old = live_runs(_staged(rewrite, append, ("CLEAN", "COMPACT")), holes=True, chunk=chunk).withColumn("lsn", F.col("lsn.lsn"))
+    new = live_runs(append, chunk=chunk)
     begins = new.groupBy("region_id").agg(F.min("lo").alias("new_first"))
-    ends = F.max("hi").over(Window.partitionBy("region_id"))
-    joined = old.withColumn("old_last", ends).join(begins, "region_id", "left")
+    ends = old.groupBy("region_id").agg(F.max("hi").alias("old_last"))
+    bounds = ends.join(begins, "region_id", "left")  # a row a region
+    joined = old.join(bounds, "region_id")
     kept = joined.where("new_first IS NULL OR new_first <= old_last + 1").withColumn("hi", F.least("hi", F.coalesce(F.col("new_first") - 1, F.col("hi")))).where("lo <= hi")
     return kept.select(*RUNS).unionByName(new.select(*RUNS))
 

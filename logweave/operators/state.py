@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import bucket
+from .fold import CHUNK
 
 
 def region_state(items_regions: DataFrame, runs: DataFrame, kvs: DataFrame) -> DataFrame:
@@ -82,11 +83,20 @@ def garbage_ratio(items: DataFrame, runs: DataFrame, kvs: DataFrame) -> DataFram
     return total.select("written", deleted.alias("deleted"), F.coalesce(F.try_divide(deleted, F.col("written")), F.lit(0.0)).alias("ratio"))
 
 
-def nth_entry_seq(runs: DataFrame, n: DataFrame) -> DataFrame:
-    """file_seq of the n-th live entry (in index order) of each region; ``n`` has region_id and n. No run is exploded."""
-    upto = F.sum(F.col("hi") - F.col("lo") + 1).over(Window.partitionBy("region_id").orderBy("lo").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    counted = runs.select("region_id", "file_seq", upto.alias("upto"), (upto - (F.col("hi") - F.col("lo") + 1)).alias("before"))
-    return n.join(counted, "region_id").where("n > before AND n <= upto").select("region_id", "n", "file_seq")
+def nth_entry_seq(runs: DataFrame, n: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """file_seq of the n-th live entry (in index order) of each region; ``n`` has region_id and n. No run is exploded.
+
+    Runs are counted in chunks of ``chunk`` indexes, so that a region of any size is many tasks' work.
+    """
+    by = ["region_id", "chunk"]
+    size = F.col("hi") - F.col("lo") + 1
+    cut = runs.select("region_id", "lo", "file_seq", size.alias("size"), F.floor(F.col("lo") / F.lit(chunk)).cast("long").alias("chunk")).repartition(*by)
+    earlier = lambda w, order: w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(*by).agg(F.sum("size").alias("n_chunk"))
+    offset = sums.select(*by, F.coalesce(F.sum("n_chunk").over(earlier(Window.partitionBy("region_id"), "chunk")), F.lit(0)).alias("offset"))
+    inside = F.coalesce(F.sum("size").over(earlier(Window.partitionBy(*by), "lo")), F.lit(0))
+    counted = cut.withColumn("inside", inside).join(offset, by).select("region_id", "file_seq", (F.col("offset") + F.col("inside")).alias("before"), "size")
+    return n.join(counted, "region_id").where("n > before AND n <= before + size").select("region_id", "n", "file_seq")
 
 
 def memory_usage(state: DataFrame, entry_bytes: int = 40) -> DataFrame:

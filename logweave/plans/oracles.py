@@ -116,6 +116,9 @@ _Q = {
     "file_hole_trim": (ITEMS, """SELECT queue, file_seq FROM (SELECT DISTINCT queue, file_seq FROM items WHERE file_seq % 7 <> 3) f WHERE file_seq >= (SELECT coalesce(max(file_seq), 0) FROM
         (SELECT file_seq, file_seq - lag(file_seq) OVER (ORDER BY file_seq) AS d FROM (SELECT DISTINCT file_seq FROM items WHERE file_seq % 7 <> 3)) WHERE d <> 1)"""),
     "fork_plan": (TWO, "SELECT queue, file_seq, CASE WHEN file_seq = max(file_seq) OVER (PARTITION BY queue) THEN 'copied' ELSE 'linked' END AS how FROM (SELECT DISTINCT queue, file_seq FROM all_items)"),
+    "raw_log_dump": (ITEMS, """SELECT queue, file_seq, CAST(row_number() OVER (PARTITION BY queue, file_seq ORDER BY lsn) AS INTEGER) AS n, region_id, kind, first_index, last_index, key, value,
+        CAST(list_sum(list_transform(range(first_index, last_index + 1), lambda i : length(region_id || ':' || i))) AS BIGINT) AS payload_bytes FROM items"""),
+    "raw_log_recovered": (RUNS, "SELECT region_id, file_seq, lo, hi FROM runs"),
     "live_runs": (RUNS, "SELECT region_id, lsn, queue, file_seq, lo, hi FROM runs"),
     "live_runs_chunked": (RUNS, "SELECT region_id, lsn, queue, file_seq, lo, hi FROM runs"),
     "live_runs_with_holes": (ITEMS + "," + HOLED + """,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
@@ -14,7 +14,8 @@ from ..functions import columns as C
 from ..functions.hashing import slot
 from ..operators import fold, gc, integrity, reads, recover
 from ..operators import state as S
-from ..sources import derived
+from ..session import materialise, scratch
+from ..sources import derived, rawlog
 
 CONFIG = EngineConfig(target_file_size=1 << 20, purge_threshold=8 << 20, purge_rewrite_threshold=1 << 20).sanitize()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,7 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 @dataclass
 class Log:
-    """The derived log and what follows from it, each a lazy plan."""
+    """The derived log and what follows from it: lazy plans, but what several parts of a query read is folded once and kept."""
 
     spark: SparkSession
     sf_dir: str
@@ -54,7 +55,8 @@ class Log:
 
     @cached_property
     def queues(self) -> tuple[DataFrame, DataFrame]:
-        return derived.two_queues(self.items, self.last_file * 9 // 10)
+        rewrite, append = derived.two_queues(self.items, self.last_file * 9 // 10)
+        return materialise(rewrite, "rewrite"), append
 
     @cached_property
     def all_items(self) -> DataFrame:
@@ -63,11 +65,11 @@ class Log:
 
     @cached_property
     def merged_runs(self) -> DataFrame:
-        return recover.recover_runs(*self.queues)
+        return materialise(recover.recover_runs(*self.queues), "runs")
 
     @cached_property
     def merged_kvs(self) -> DataFrame:
-        return recover.recover_kvs(*self.queues)
+        return materialise(recover.recover_kvs(*self.queues), "kvs")
 
     @cached_property
     def state(self) -> DataFrame:
@@ -125,6 +127,32 @@ def fork_plan(log: Log) -> DataFrame:
     return queue_int(integrity.fork_plan(log.all_items.select("queue", "file_seq").distinct()))
 
 
+def raw_log(log: Log, mode: str) -> DataFrame:
+    """The log as raw files, ten operations a batch, each entry 'region:index', and read back."""
+    entry = F.transform(F.sequence("first_index", "last_index"), lambda i: F.concat(F.col("region_id").cast("string"), F.lit(":"), i.cast("string")).cast("binary"))
+    table = log.items.select("queue", "file_seq", "lsn", F.floor(F.col("lsn") / 10).cast("long").alias("batch_id"), "region_id", "kind", "first_index", "key", "value", F.when(F.col("kind") == "ENTRIES", entry).alias("payloads"))
+    folder = scratch(log.spark, "raw")
+    rawlog.write_table(table, folder, threshold=64).write.parquet(f"{folder}-files")
+    rawlog.register(log.spark)
+    raw = log.spark.read.format("raw_log").options(path=folder, mode=mode).load()
+    return raw.withColumns({c: F.col(c).cast("long") for c in ("region_id", "first_index", "last_index")})
+
+
+@query
+def raw_log_dump(log: Log) -> DataFrame:
+    raw = raw_log(log, "dump")
+    n = F.row_number().over(Window.partitionBy("queue", "file_seq").orderBy("lsn"))
+    size = F.aggregate("payloads", F.lit(0).cast("long"), lambda a, p: a + F.octet_length(p))
+    return queue_int(raw).select("queue", "file_seq", n.alias("n"), "region_id", "kind", "first_index", "last_index", text("key"), text("value"), size.alias("payload_bytes"))
+
+
+@query
+def raw_log_recovered(log: Log) -> DataFrame:
+    """Live runs of the raw files, in their own order of places."""
+    raw = raw_log(log, "absolute-consistency")
+    return fold.live_runs(raw).select("region_id", "file_seq", "lo", "hi")
+
+
 # ---- fold
 
 
@@ -135,12 +163,12 @@ def live_runs(log: Log) -> DataFrame:
 
 @query
 def live_runs_chunked(log: Log) -> DataFrame:
-    return queue_int(fold.live_runs_chunked(log.items, 1000)).select("region_id", "lsn", "queue", "file_seq", "lo", "hi")
+    return queue_int(fold.live_runs(log.items, chunk=1000)).select("region_id", "lsn", "queue", "file_seq", "lo", "hi")
 
 
 @query
 def live_runs_with_holes(log: Log) -> DataFrame:
-    return fold.live_runs(derived.with_holes(log.items), holes=True).select("region_id", "lsn", "lo", "hi")
+    return fold.live_runs(derived.with_holes(log.items), holes=True, chunk=500).select("region_id", "lsn", "lo", "hi")
 
 
 @query
@@ -507,8 +535,6 @@ def checksum_crc32(log: Log) -> DataFrame:
 
 @query
 def batch_merge(log: Log) -> DataFrame:
-    from pyspark.sql import Window
-
     pair = log.items.where("kind <> 'CLEAN'").select(F.floor(F.col("lsn") / 20).cast("long").alias("batch_id"), "lsn", "region_id", "kind")
     n = F.row_number().over(Window.partitionBy("batch_id").orderBy("lsn")) - 1
     return pair.select("batch_id", n.cast("int").alias("item_no"), "lsn", "region_id", "kind")

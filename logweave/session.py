@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "logweave", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -23,3 +26,35 @@ def session(app: str = "logweave", master: str | None = None, shuffle_partitions
     for k, v in (defaults | conf).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``), qualified by the default file system.
+
+    Only in local mode, where the session names none, a temporary one is set. It is deleted when the driver's JVM ends
+    if it was made here; what a session writes below it goes then too.
+    """
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='logweave-')}"
+        sc.setCheckpointDir(found)
+    path = sc._jvm.org.apache.hadoop.fs.Path(found)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    root = fs.makeQualified(path)
+    fs.deleteOnExit(sc._jvm.org.apache.hadoop.fs.Path(root, f"logweave-{sc.applicationId}"))
+    return re.sub("^file:/(?!/)", "file:///", root.toString())
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/logweave-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: computed once however often it is read, and safe from lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

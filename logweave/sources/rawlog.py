@@ -3,17 +3,26 @@
 A file is a header (magic, version, for version 2 an alignment) and batches. A batch is a header of
 two big-endian words (length << 8 | compression; place of the footer), the entries block (payloads,
 perhaps LZ4, then CRC-32) and the footer (number of items, items, CRC-32 signed with the file number).
+
+Folders are local paths or URIs of any file system that pyarrow opens; a log may lie in a main and a
+spill folder. ``lsn`` orders all rows: rewrite queue first, then file, then place in the file. An item is at
+least three bytes long, so that a batch's place plus the item's number never reaches the next batch.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
+import shutil
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
 from ..config import RecoveryMode
@@ -31,6 +40,10 @@ CLEAN, COMPACT = 1, 2
 PUT, DEL = 1, 2
 PLAIN, LZ4 = 0, 1
 
+#: Bits of a place in a file and of a file's number in ``lsn``.
+OFFSET_BITS, SEQ_BITS = 36, 26
+DUMP = "dump"
+
 SCHEMA = "queue tinyint, file_seq long, block_offset long, item_no int, lsn long, region_id decimal(20,0), kind string, first_index decimal(20,0), last_index decimal(20,0), key binary, value binary, entry_len array<long>, payloads array<binary>, compression tinyint, error string"
 
 
@@ -49,9 +62,18 @@ def parse_reserved_name(name: str) -> int | None:
     return int(m[1]) if m else None
 
 
-def scan_dir(path: str) -> list[tuple[int, int, str]]:
-    """(queue, file number, path) of the log files of a directory, rewrite files first, each queue in order."""
-    found = [(*p, os.path.join(path, n)) for n in os.listdir(path) if (p := parse_file_name(n))]
+def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a local path or URI, and the path in it."""
+    return pafs.FileSystem.from_uri(path) if re.match(r"[a-z0-9+.-]+:/", path) else (pafs.LocalFileSystem(), path)
+
+
+def scan_dir(*paths: str) -> list[tuple[int, int, str]]:
+    """(queue, file number, path) of the log files of one or more folders, rewrite files first, each queue in order."""
+    found = []
+    for path in paths:
+        fs, inside = open_fs(path)
+        prefix = path.rstrip("/")
+        found += [(*p, f"{prefix}/{i.base_name}") for i in fs.get_file_info(pafs.FileSelector(inside)) if i.is_file and (p := parse_file_name(i.base_name))]
     return sorted(found, key=lambda f: (-f[0], f[1]))
 
 
@@ -64,19 +86,22 @@ def newest_without_gap(files: list[tuple[int, int, str]]) -> list[tuple[int, int
     return [f for f in files if f[1] >= kept[f[0]]]
 
 
+def order_key(queue: int, seq: int, at: int, no: int) -> int:
+    """``lsn`` of item ``no`` of the batch at ``at``; refuses what doesn't fit."""
+    if seq >> SEQ_BITS or (at + no) >> OFFSET_BITS:
+        raise InvalidArgument(f"file {seq}, place {at}: too large for an order key")
+    return (1 - queue) << (OFFSET_BITS + SEQ_BITS) | seq << OFFSET_BITS | at + no
+
+
 def zero_padded(data: bytes) -> bool:
     return not data or (data[0] == 0 and data[-1] == 0)
 
 
 def compress(data: bytes) -> bytes:
-    import pyarrow as pa
-
     return struct.pack("<I", len(data)) + bytes(pa.Codec("lz4_raw").compress(data)) if data else b""
 
 
 def decompress(data: bytes) -> bytes:
-    import pyarrow as pa
-
     if not data:
         return b""
     if len(data) <= 4:
@@ -197,37 +222,94 @@ def payloads_of(block: bytes, kind: int) -> bytes:
     return decompress(block[:-4]) if kind == LZ4 else block[:-4]
 
 
+def compression_ratio(data: bytes, at: int = 0) -> float:
+    """Stored over raw bytes of the entries block of an encoded batch; 1 where nothing is compressed."""
+    word, footer_at = struct.unpack_from(">QQ", data, at)
+    if word & 0xFF != LZ4 or footer_at <= 16:
+        return 1.0
+    return (footer_at - 20) / max(1, struct.unpack_from("<I", data, at + 16)[0])
+
+
+@dataclass
+class Batch:
+    at: int
+    kind: int
+    items: list[Item]
+    lengths: list[list[int]]
+    block: bytes
+
+
+def read_batches(data: bytes, seq: int) -> Iterator[Batch]:
+    """The batches of a file in turn; raises at the first that can't be decoded."""
+    version, alignment, at = parse_header(data)
+    at = round_up(at, alignment) if alignment else at
+    while at < len(data):
+        if zero_padded(data[at : at + 16]):  # padding up to the next aligned place, or the end
+            nxt = round_up(at + 1, alignment) if alignment else len(data)
+            if zero_padded(data[at:nxt]):
+                at = nxt
+                continue
+        end, kind, _, items, lengths, block = decode_batch(data, at, seq, version)
+        yield Batch(at, kind, items, lengths, block)
+        at = end
+
+
+def rows_of(b: Batch, queue: int, seq: int, raw: bytes | None) -> Iterator[tuple]:
+    spot = 0
+    for no, (i, sizes) in enumerate(zip(b.items, b.lengths, strict=True)):
+        own = None
+        if raw is not None and i.kind == "ENTRIES":
+            own = []
+            for n in sizes:
+                own.append(raw[spot : spot + n])
+                spot += n
+        last = i.first_index + len(sizes) - 1 if i.kind == "ENTRIES" else None
+        yield queue, seq, b.at, no, order_key(queue, seq, b.at, no), i.region_id, i.kind, i.first_index, last, i.key, i.value, sizes or None, own, b.kind, None
+
+
 def read_file(path: str, queue: int, seq: int, mode: str, newest: bool, payloads: bool) -> Iterator[tuple]:
-    """Rows of a file. ``mode`` 'dump' gives a row with ``error`` for a fault and goes on with the next file; the recovery
-    modes raise, or end the file where they tolerate the fault."""
-    with open(path, "rb") as f:
+    """Rows of a file.
+
+    'dump' gives a row with ``error`` for a fault and goes on with the next file. Recovery: a batch or header that can't
+    be decoded ends the file in tolerate-any mode, and in tolerate-tail mode if the file is its queue's newest; else it
+    raises. The last batch of any file that can be decoded is dropped if its entries are broken, in every mode but
+    absolute. Entries before that are only looked at where payloads are asked for; there a fault raises, but in
+    tolerate-any mode the payloads are null.
+    """
+    fs, inside = open_fs(path)
+    with fs.open_input_file(inside) as f:
         data = f.read()
-    try:
-        version, alignment, at = parse_header(data)
-        at = round_up(at, alignment) if alignment else at
-        while at < len(data):
-            if zero_padded(data[at : at + 16]):  # padding up to the next aligned place, or the end
-                nxt = round_up(at + 1, alignment) if alignment else len(data)
-                if zero_padded(data[at:nxt]):
-                    at = nxt
-                    continue
-            end, kind, _, items, lengths, block = decode_batch(data, at, seq, version)
-            raw, spot = (payloads_of(block, kind) if payloads or end >= len(data) else None), 0
-            for no, (i, sizes) in enumerate(zip(items, lengths, strict=True)):
-                own = None
-                if payloads and i.kind == "ENTRIES":
-                    own = []
-                    for n in sizes:
-                        own.append(raw[spot : spot + n])
-                        spot += n
-                lsn = (1 - queue) << 62 | seq << 40 | at << 12 | no
-                yield queue, seq, at, no, lsn, i.region_id, i.kind, i.first_index, i.first_index + len(sizes) - 1 if i.kind == "ENTRIES" else None, i.key, i.value, sizes or None, own, kind, None
-            at = end
-    except (LogError, CodecFailure) as e:
-        if mode == "dump":
-            yield queue, seq, at if "at" in locals() else 0, None, None, None, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"
-        elif not (mode == RecoveryMode.TOLERATE_ANY.value or (mode == RecoveryMode.TOLERATE_TAIL.value and newest)):
-            raise Corruption(f"{path}: {e}") from e
+    any_, tail = RecoveryMode.TOLERATE_ANY.value, RecoveryMode.TOLERATE_TAIL.value
+    error = lambda at, e: (queue, seq, at, *[None] * 11, f"{type(e).__name__}: {e}")
+    batches, held = read_batches(data, seq), None
+    while True:
+        following = fault = None
+        try:
+            following = next(batches, None)
+        except (LogError, CodecFailure) as e:
+            fault = e
+        if held is not None:
+            raw = None
+            try:
+                if payloads or (following is None and mode != DUMP):
+                    raw = payloads_of(held.block, held.kind)
+            except (LogError, CodecFailure) as e:
+                if mode == DUMP:
+                    yield error(held.at, e)
+                    return
+                if following is None and mode in (any_, tail):
+                    return
+                if mode != any_:
+                    raise Corruption(f"{path}: {e}") from e
+            yield from rows_of(held, queue, seq, raw if payloads else None)
+        if following is None:
+            break
+        held = following
+    if fault is not None:
+        if mode == DUMP:
+            yield error(held.at if held else 0, fault)
+        elif mode != any_ and not (mode == tail and newest):
+            raise Corruption(f"{path}: {fault}") from fault
 
 
 @dataclass
@@ -240,27 +322,35 @@ class FilePartition(InputPartition):
 
 class RawLogReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.mode = options.get("mode", "dump")
+        self.mode = options.get("mode", DUMP)
+        if self.mode not in (DUMP, *(m.value for m in RecoveryMode)):
+            raise InvalidArgument(f"unknown mode {self.mode!r}")
         self.payloads = options.get("payloads", "true").lower() == "true"
         path = options["path"]
-        if os.path.isfile(path):
-            p = parse_file_name(os.path.basename(path))
+        fs, inside = open_fs(path)
+        if fs.get_file_info(inside).is_file:
+            p = parse_file_name(path.rsplit("/", 1)[-1])
             if not p:
                 raise InvalidArgument(f"not a log file: {path}")
             self.files = [(*p, path)]
         else:
-            self.files = scan_dir(path) if self.mode == "dump" else newest_without_gap(scan_dir(path))
+            found = scan_dir(path, *filter(None, [options.get("spill")]))
+            self.files = found if self.mode == DUMP else newest_without_gap(found)
+        # of all files, whatever filters are pushed: a filter must not change what counts as a log's tail
+        self.newest = {q: max(s for p, s, _ in self.files if p == q) for q, _, _ in self.files}
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Equality on queue and file_seq chooses files; everything else is Spark's."""
+        """Equality on queue and file_seq chooses files; everything else is Spark's.
+
+        Recovery reads all files, so that a fault is found whatever the query asks for.
+        """
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute in (("queue",), ("file_seq",)):
+            if self.mode == DUMP and isinstance(f, EqualTo) and f.attribute in (("queue",), ("file_seq",)):
                 self.files = [x for x in self.files if x[f.attribute == ("file_seq",)] == f.value]
             yield f
 
     def partitions(self) -> list[InputPartition]:
-        newest = {q: max(s for p, s, _ in self.files if p == q) for q, _, _ in self.files}
-        return [FilePartition(path, q, s, newest[q] == s) for q, s, path in self.files]
+        return [FilePartition(path, q, s, self.newest[q] == s) for q, s, path in self.files]
 
     def read(self, partition: FilePartition) -> Iterator[tuple]:
         from decimal import Decimal
@@ -273,7 +363,7 @@ class RawLogReader(DataSourceReader):
 
 
 class RawLogSource(DataSource):
-    """``spark.read.format("raw_log").option("path", dir)``; options mode ('dump' or a recovery mode) and payloads."""
+    """``spark.read.format("raw_log").option("path", dir)``; options mode ('dump' or a recovery mode), spill (a second folder) and payloads."""
 
     @classmethod
     def name(cls) -> str:
@@ -292,21 +382,27 @@ def register(spark: SparkSession) -> None:
 
 
 class RawLogWriter:
-    """Appends batches to the files of one queue in a directory, rotating before a write once a file has its target size."""
-
-    def __init__(self, path: str, queue: int = 0, target_file_size: int = 128 << 20, version: int = 2, threshold: int = 8 << 10):
-        self.path, self.queue, self.target, self.version, self.threshold = path, queue, target_file_size, version, threshold
-        os.makedirs(path, exist_ok=True)
-        have = [s for q, s, _ in scan_dir(path) if q == queue]
-        self.seq = max(have, default=1)
+    """Appends batches to the files of one queue in a folder, rotating before a write once a file has its target size.
+
+    New files go to the first of ``path`` and ``spill`` that has room for one. ``compression_ratio`` is that of the last
+    batch written.
+    """
+
+    def __init__(self, path: str, queue: int = 0, target_file_size: int = 128 << 20, version: int = 2, threshold: int = 8 << 10, spill: str | None = None):
+        self.paths = [path, *filter(None, [spill])]
+        self.queue, self.target, self.version, self.threshold = queue, target_file_size, version, threshold
+        self.compression_ratio = 1.0
+        for p in self.paths:
+            os.makedirs(p, exist_ok=True)
+        have = [f for f in scan_dir(*self.paths) if f[0] == queue]
+        self.seq = have[-1][1] if have else 1
+        self.file = have[-1][2] if have else ""
         if not have:
             self._create()
 
-    @property
-    def file(self) -> str:
-        return os.path.join(self.path, file_name(self.queue, self.seq))
-
     def _create(self) -> None:
+        room = [p for p in self.paths if shutil.disk_usage(p).free >= self.target]
+        self.file = os.path.join((room or self.paths)[0], file_name(self.queue, self.seq))
         with open(self.file, "xb") as f:
             f.write(header(self.version))
 
@@ -321,6 +417,36 @@ class RawLogWriter:
         if os.path.getsize(self.file) >= self.target:
             self.rotate()
         data = encode_batch(batch, self.seq, self.version, self.threshold)
+        self.compression_ratio = compression_ratio(data)
         with open(self.file, "ab") as f:
             f.write(data)
         return len(data)
+
+
+def write_table(items: DataFrame, folder: str, threshold: int = 8 << 10, version: int = 2) -> DataFrame:
+    """Write a log table (queue, file_seq, lsn, batch_id, region_id, kind, first_index, key, value, payloads) as raw files.
+
+    Each file is one task's work, written aside and renamed; its batches are streamed, so a task holds one file's bytes.
+    Gives queue, file_seq, n_bytes, raw_bytes, stored_bytes (of entries) of each file; the files are there when that is read.
+    """
+
+    def one(key, table):
+        queue, seq = (k.as_py() for k in key)
+        rows = table.sort_by("lsn").to_pylist()
+        out, raw, stored = bytearray(header(version)), 0, 0
+        for _, group in itertools.groupby(rows, key=lambda r: r["batch_id"]):
+            batch = LogBatch()
+            batch.items = [Item(r["region_id"], r["kind"], r["first_index"], r["payloads"] or [], r["key"], r["value"]) for r in group]
+            data = encode_batch(batch, seq, version, threshold)
+            n = sum(len(p) for i in batch.items for p in i.payloads)
+            raw, stored = raw + n, stored + round(n * compression_ratio(data))
+            out += data
+        fs, inside = open_fs(folder)
+        fs.create_dir(inside, recursive=True)
+        aside = f"{inside}/.{file_name(queue, seq)}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(aside) as f:
+            f.write(bytes(out))
+        fs.move(aside, f"{inside}/{file_name(queue, seq)}")
+        return pa.table({"queue": pa.array([queue], pa.int8()), "file_seq": [seq], "n_bytes": [len(out)], "raw_bytes": [raw], "stored_bytes": [stored]})
+
+    return items.groupBy("queue", "file_seq").applyInArrow(one, "queue tinyint, file_seq long, n_bytes long, raw_bytes long, stored_bytes long")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..errors import InvalidArgument
+from ..session import scratch
 
 OUTPUT = "region_id long, first_index long, last_index long, entry_count long, lsn long"
 STATE = "runs string, lsn long"
@@ -60,20 +61,11 @@ def append_log(items: DataFrame, path: str, checkpoint: str):
     return items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _shared(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{root.rstrip('/')}/logweave-stream-{uuid.uuid4().hex[:12]}"
-
-
 def streamed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First and last index of each region, from a stream over the derived log in four ordered steps."""
     from ..sources import derived
 
-    root = _shared(spark)
+    root = scratch(spark, "stream")
     items = derived.log_items(spark, sf_dir).withColumn("key", F.col("key").cast("string")).drop("value")
     last = items.agg(F.max("file_seq")).first()[0] or 1
     latest = None

@@ -116,3 +116,121 @@ def test_compression():
             rawlog.decompress(bad)
     assert rawlog.zero_padded(b"") and rawlog.zero_padded(b"\0x\0") and not rawlog.zero_padded(b"\0x")
     assert os.path.basename(rawlog.file_name(1, 1)).endswith(".rewrite")
+
+
+def recovered(spark, folder, mode, **options):
+    rawlog.register(spark)
+    return spark.read.format("raw_log").options(path=str(folder), mode=mode, **options).load()
+
+
+def test_order_of_a_large_batch(spark, tmp_path):
+    """lsn is distinct and in order of file, place and item whatever the size of a batch."""
+    w = rawlog.RawLogWriter(str(tmp_path), 0, target_file_size=1000)
+    for _ in range(2):
+        b = LogBatch()
+        for i in range(5000):
+            b.compact(i % 3, i)
+        w.write(b)
+    rows = recovered(spark, tmp_path, "dump").select("file_seq", "block_offset", "item_no", "lsn").collect()
+    places = [tuple(r)[:3] for r in sorted(rows, key=lambda r: r.lsn)]
+    assert len({r.lsn for r in rows}) == 10_000 and places == sorted(places)
+    assert rawlog.order_key(1, 9, 0, 0) < rawlog.order_key(0, 1, 0, 0) < rawlog.order_key(0, 1, (1 << 36) - 1, 0) < rawlog.order_key(0, 2, 0, 0) < 1 << 63
+    for bad in ((0, 1 << 26, 0, 0), (0, 1, 1 << 36, 0)):
+        with pytest.raises(InvalidArgument):
+            rawlog.order_key(*bad)
+
+
+@pytest.fixture
+def three_files(tmp_path):
+    w = rawlog.RawLogWriter(str(tmp_path), 0, target_file_size=100)
+    for i in range(3):
+        for j in range(2):
+            b = LogBatch()
+            b.add_entries(1, 1 + 4 * i + 2 * j, [b"a" * 20, b"b" * 20])
+            if j:
+                with open(w.file, "ab") as f:
+                    f.write(rawlog.encode_batch(b, w.seq))
+            else:
+                w.write(b)
+    return tmp_path
+
+
+def damage(folder, seq, from_end):
+    path = folder / rawlog.file_name(0, seq)
+    data = bytearray(path.read_bytes())
+    data[-from_end] ^= 1
+    path.write_bytes(data)
+
+
+MODES = ("absolute-consistency", "tolerate-tail-corruption", "tolerate-any-corruption")
+
+
+@pytest.mark.parametrize("seq", [1, 3])
+def test_broken_entries_at_a_tail(spark, three_files, seq):
+    """The last batch of any file is dropped if its entries are broken, in every mode but absolute."""
+    damage(three_files, seq, 30)  # within the entries block of the last batch
+    for mode in MODES[1:]:
+        assert sorted(r.first_index for r in recovered(spark, three_files, mode, payloads="false").collect()) == [i for i in (1, 3, 5, 7, 9, 11) if i != 4 * seq - 1]
+    with pytest.raises(Exception, match="entries"):
+        recovered(spark, three_files, MODES[0], payloads="false").count()
+
+
+@pytest.mark.parametrize("seq", [1, 3])
+def test_broken_items_at_a_tail(spark, three_files, seq):
+    """A batch that can't be decoded is tolerated in the newest file only, and anywhere in tolerate-any mode; a filter on
+    files doesn't change that."""
+    damage(three_files, seq, 2)
+    left = 5
+    assert recovered(spark, three_files, MODES[2]).count() == left
+    for filtered in (False, True):
+        df = recovered(spark, three_files, MODES[1])
+        df = df.where(f"file_seq = {seq}") if filtered else df
+        if seq == 3:
+            assert df.count() == (1 if filtered else left)
+        else:
+            with pytest.raises(Exception, match="checksum"):
+                df.count()
+    with pytest.raises(Exception, match="unknown mode"):
+        recovered(spark, three_files, "tolerate").count()
+
+
+def test_broken_entries_in_the_middle(spark, three_files):
+    """Recovery doesn't look at entries before a file's last batch unless payloads are asked for."""
+    n = len(rawlog.encode_batch(next(iter([_batch()])), 1))
+    damage(three_files, 1, n + 30)
+    assert recovered(spark, three_files, MODES[0], payloads="false").count() == 6
+    with pytest.raises(Exception, match="entries"):
+        recovered(spark, three_files, MODES[1]).collect()
+    assert sum(r.payloads is None for r in recovered(spark, three_files, MODES[2]).collect()) == 1
+
+
+def _batch():
+    b = LogBatch()
+    b.add_entries(1, 1, [b"a" * 20, b"b" * 20])
+    return b
+
+
+def test_spill_folder_uris_and_ratio(spark, tmp_path):
+    main, spill = tmp_path / "main", tmp_path / "spill"
+    w = rawlog.RawLogWriter(str(main), 0, target_file_size=100, threshold=8)
+    w.write(_batch())
+    second = rawlog.RawLogWriter(str(spill), 0, target_file_size=100, threshold=8)
+    second.seq = 1
+    second.rotate()
+    b = LogBatch()
+    b.add_entries(1, 3, [b"x" * 4000])
+    second.write(b)
+    os.remove(spill / rawlog.file_name(0, 1))
+    assert 0 < second.compression_ratio < 0.1
+    both = recovered(spark, f"file://{main}", "absolute-consistency", spill=f"file://{spill}")
+    assert [int(r.first_index) for r in both.orderBy("lsn").collect()] == [1, 3]
+    assert recovered(spark, main / rawlog.file_name(0, 1), "dump").count() == 1
+
+
+def test_table_as_raw_files(spark, tmp_path):
+    rows = [(0, 1 + i // 4, i, i // 2, i % 2, 7, "ENTRIES", i, i, None, None, [b"p%d" % i]) for i in range(10)]
+    items = spark.createDataFrame(rows, batch_module.SCHEMA)
+    files = rawlog.write_table(items, f"file://{tmp_path}/raw", threshold=1).collect()
+    assert {r.file_seq for r in files} == {1, 2, 3} and all(r.raw_bytes and r.stored_bytes for r in files)
+    back = recovered(spark, tmp_path / "raw", "absolute-consistency").orderBy("lsn").collect()
+    assert [bytes(r.payloads[0]) for r in back] == [b"p%d" % i for i in range(10)]
