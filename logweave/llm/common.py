@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise, scratch, shared_dir
+
+__all__ = ["SPACE", "SPACE_STR", "HOT", "documents", "drop_scratch", "fold", "join_counted", "materialise", "parallelism", "scratch", "shared_dir", "slices", "utf8"]
+
 #: ASCII white space, as the contracts spell it: space and 0x09 to 0x0D.
 SPACE = b" \t\n\x0b\x0c\r"
 SPACE_STR = SPACE.decode()
@@ -25,32 +26,6 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the session names none (tests, local mode) a temporary one is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='logweave-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found if "://" in found or found.startswith("file:") else f"file://{found}"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/logweave-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def drop_scratch(spark: SparkSession, df_or_path: DataFrame | str) -> None:
     """Delete a scratch table that no later plan reads."""
     paths = [df_or_path] if isinstance(df_or_path, str) else sorted({f.rsplit("/", 1)[0] for f in df_or_path.inputFiles()})
@@ -77,3 +52,20 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: A key with more than a share of 1 / HOT of all rows is hot; so there are fewer than HOT hot keys.
+HOT = 1000
+
+
+def join_counted(rows: DataFrame, facts: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """``rows`` joined with the one row of ``facts`` for each key; column ``n`` of facts tells how many of the ``total`` rows have it.
+
+    Facts of hot keys, at most ``HOT`` of them, are sent to their rows, which stay spread out; all others meet by key.
+    """
+    least = max(HOT, total // HOT + 1)
+    names = [c for c in facts.columns if c not in (*on, n)]
+    hot = F.broadcast(facts.where(F.col(n) >= least).select(*on, F.struct(*names).alias("_fact")))  # at most HOT rows
+    marked = rows.join(hot, on, "left")
+    cold = marked.where("_fact IS NULL").drop("_fact").join(facts.where(F.col(n) < least).select(*on, *names), on)
+    return marked.where("_fact IS NOT NULL").select(*rows.columns, "_fact.*").unionByName(cold.select(*rows.columns, *names))
