@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise, scratch, shared_dir
 
-__all__ = ["SPACE", "SPACE_STR", "HOT", "documents", "drop_scratch", "fold", "join_counted", "materialise", "parallelism", "scratch", "shared_dir", "slices", "utf8"]
+__all__ = ["SPACE", "SPACE_STR", "HOT", "and_end", "documents", "drop_scratch", "fold", "join_counted", "materialise", "parallelism", "scratch", "shared_dir", "slices", "utf8"]
 
 #: ASCII white space, as the contracts spell it: space and 0x09 to 0x0D.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -50,6 +50,12 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches, then None."""
+    yield from batches
+    yield None
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, parallelism, slices, utf8
+from .common import and_end, materialise, parallelism, slices, utf8
 from .components import components, forest
 
 U = np.uint64
@@ -154,7 +154,7 @@ def near_links(distinct: DataFrame) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, fp = np.zeros(0, np.int64), np.zeros(0, U)
-        for batch in _and_end(batches):
+        for batch in and_end(batches):
             if batch is not None:
                 key = np.concatenate([key, batch.column(0).to_numpy()])
                 fp = np.concatenate([fp, batch.column(1).to_numpy().view(U)])
@@ -174,11 +174,6 @@ def near_links(distinct: DataFrame) -> DataFrame:
     return keyed.repartition(parallelism(distinct.sparkSession), "key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long")
 
 
-def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
-
-
 def simhash_classes(docs: DataFrame, hot_rows: int = 8) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) and component_id of every row of ``docs``."""
     prints = materialise(fingerprints(docs), "fingerprints")

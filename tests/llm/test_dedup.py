@@ -206,7 +206,14 @@ def plain_passages(rows, shape):
             assert kinds.setdefault(int(unit), words[at : at + size]) == words[at : at + size]
             keys[int(unit)] = set(key.tolist())
     names = sorted(kinds)
-    links = []
+    links, ends, of_key = [], {}, defaultdict(set)
+    for _, i, unit in units:
+        low, high = ends.get(unit, (i, i))
+        ends[unit] = min(low, i), max(high, i)
+    for unit, found in keys.items():
+        for k in found:
+            of_key[k].add(ends[unit])
+    keys = {u: {k for k in found if len(of_key[k]) > 1} for u, found in keys.items()}  # copies of one text unite nothing
     for n, a in enumerate(names):
         for b in names[n + 1 :]:
             if keys[a] & keys[b] and plain_distance(kinds[a], kinds[b]) <= 0.2 * max(len(kinds[a]), len(kinds[b])) + 1e-9:
@@ -231,7 +238,9 @@ def test_edit_distance():
         assert substring_dedup.edit_distance(a, b) == plain_distance(a, b)
 
 
-def test_passages(spark, table):
+@pytest.mark.parametrize("group", [2000, 1])
+def test_passages(spark, table, monkeypatch, group):
+    monkeypatch.setattr(substring_dedup, "GROUP", group)  # with 1 all groups count as large
     rng = random.Random(5)
     passages = [prose(rng, n) for n in (49, 52, 80, 200)]
     rows = []
