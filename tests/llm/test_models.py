@@ -73,12 +73,14 @@ def test_languages(spark, table):
     roots = {"aa": ["bano", "celu", "dira"], "bb": ["krsto", "zvlik", "prun"], "cc": ["thoeu", "ouxai", "eail"]}
     text = lambda lang, n: " ".join("".join(rng.choice(roots[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
     learnt = [(i, text(lang, 30), lang) for i in range(150) for lang in [rng.choice(list(roots))]] + [(900, "banobano", None)]
-    model = lang_id.fit(table(learnt), words_per_lang=40, grams_per_lang=300)
+    model = lang_id.fit(table(learnt))
     assert model.langs == ["aa", "bb", "cc"]
     asked = [(1000 + i, text(lang, 12), lang) for i in range(60) for lang in [rng.choice(list(roots))]]
-    got = {r.doc_id: r for r in lang_id.identify(table(asked + ODD + [(5000, "1234 !!")]), model).collect()}
+    got = {r.doc_id: r for r in lang_id.identify(table(asked + ODD + [(5000, "1234 !!"), (5001, "½ ² ① Ⅷ")]), model).collect()}
     assert np.mean([got[i].lang_pred == lang for i, _, lang in asked]) == 1
-    assert [got[i].lang_pred for i in (9001, 9002, 9003, 9004, 5000)] == ["und"] * 5 and got[9001].score == 0
+    assert [got[i].lang_pred for i in (9001, 9002, 9003, 9004, 5000, 5001)] == ["und"] * 6 and got[9001].score == 0
+    assert lang_id.words_in("x² ½ Ⅷ ab½cd é_f 9g") == ["x", "ab", "cd", "é", "f", "g"]
+    assert lang_id.identify(table([]), model).collect() == []
     assert all(0 <= r.score <= 1 for r in got.values())
     # the vectorised backoff equals a plain one
     word = "celukrsto"
@@ -282,6 +284,37 @@ def test_solver():
     assert mixing.solve(of, 3, mixing.Target(0.1, 2.0)) == 1.0 == mixing.solve(of, 1, target)
 
 
+def _taken(got, rows):
+    """(doc_id, text) -> copies, of rows and what was decided for their ids and token counts."""
+    copies = {(r.doc_id, r.tokens): r.copies for r in got}
+    out = Counter()
+    for i, t, *_ in rows:
+        out[i, t] += copies[i, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))]
+    return out
+
+
+def test_mixing_equals_sql(spark, tmp_path):
+    """The registered query against its SQL, with a hot source, null sources, repeated rows and ids, and empty texts."""
+    import duckdb
+
+    from logweave.llm import queries
+
+    rng = random.Random(15)
+    rows = [(i, prose(rng, rng.randrange(0, 60)), "en", "hot" if i % 3 else f"s{i % 7}") for i in range(500)]
+    rows += [(i, None, "en", None) for i in range(500, 520)] + [(7, "one two", "en", "s1")] * 3 + [(7, "one", "en", "s1"), (None, "no id", "en", "hot"), (600, "", "en", "empty")]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(path)
+    df = queries.op5_mixing(spark, str(tmp_path))
+    names = sorted(df.columns)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    want = con.execute(queries.ORACLES["op5_mixing"])
+    at = [d[0] for d in want.description]
+    assert sorted(at) == names
+    assert sorted(repr(tuple(r[at.index(c)] for c in names)) for r in want.fetchall()) == sorted(repr(tuple(r[c] for c in names)) for r in df.collect())
+    assert df.select("exponent").first()[0] < 1 and df.select("copies").distinct().count() > 1
+
+
 def test_mixing(spark, table):
     rng = random.Random(7)
     rows = [(i, prose(rng, rng.randrange(0, 40)), "en", "hot" if i % 10 < 8 else f"s{i % 10}") for i in range(600)] + [(i, t, "en", None) for i, t in ODD]
@@ -309,7 +342,22 @@ def test_mixing(spark, table):
     assert max(w * 0.8 / p[s] for s, w in weight.items() if s in p) <= 2.0 + 1e-9
     again = {(r.doc_id, r.tokens): r.copies for r in mixing.mix(table(rows, 5), target, block_docs=16).collect()}
     assert all(again[r.doc_id, r.tokens] == r.copies for r in got)
-    assert mixing.mix(table([])).collect() == []
+    # row by row: each source's last pass takes rows in order while fewer tokens than its rest came before
+    for s in p:
+        quota = round(weight[s] * whole * 0.8)
+        rest, passes, before, place = quota % size[s], quota // size[s], 0, None
+        at = lambda r: (r.turn, r.block, r.place, -(1 << 63) if r.doc_id is None else r.doc_id, r.tokens)
+        held = 0
+        for r in sorted((r for r in got if r.source == s), key=at):
+            if at(r) != place:
+                before, place, held = before + held, at(r), 0
+            held += r.tokens
+            assert r.copies == passes + (before < rest), (s, r)
+    assert got[0].exponent < 1 and len({r.copies for r in got}) > 1
+    real = mixing.realise(table(rows), target, block_docs=16)
+    assert set(table([]).columns) - {"block", "weight"} <= set(real.columns)
+    assert Counter((r.doc_id, r.text) for r in real.collect()) == Counter({k: n for k, n in _taken(got, rows).items() if n})
+    assert mixing.mix(table([])).collect() == [] == mixing.realise(table([])).collect()
     silent = mixing.mix(table([(1, ""), (2, None)])).collect()
     assert [r.copies for r in silent] == [0, 0]
 
@@ -319,6 +367,6 @@ def test_mixing_order_can_be_replayed(spark, table):
     rows = [(i, "word " * rng.randrange(1, 9), "en", rng.choice("aab")) for i in range(300)]
     got = mixing.mix(table(rows), mixing.Target(0.95, 2.0, 0.8), block_docs=16).collect()
     for source in "ab":
-        copies = [r.copies for r in sorted((r for r in got if r.source == source), key=lambda r: (r.turn, r.block, r.place, r.doc_id))]
+        copies = [r.copies for r in sorted((r for r in got if r.source == source), key=lambda r: (r.turn, r.block, r.place, r.doc_id, r.tokens))]
         assert copies == sorted(copies, reverse=True)  # the last pass takes a prefix
     assert len({r.block for r in got}) > 5 and {r.copies for r in got if r.source == "a"} == {0, 1}
