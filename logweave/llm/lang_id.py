@@ -5,12 +5,13 @@ known character n-grams (of ``orders``, word ends marked by spaces) score it, av
 are tried only if no longer one is known. Word scores add up to a posterior over languages.
 
 The model is fitted on a bounded sample: of each language about ``docs_per_lang`` labelled
-documents, those with the smallest hashes of their id. Its tables are cut to ``words_per_lang`` and
-``grams_per_lang`` entries, so what is broadcast is bounded by the number of languages.
+documents, those with the smallest hashes of their id. All words of the sample and all their n-grams
+are in its tables; nothing is cut.
 
-Defined results: null texts and texts without a letter give ``und`` with score 0; so does everything
-when there is nothing to learn from; rows with a null lang are not learnt from; equal posteriors go
-to the language that sorts first; repeated rows each get a row; extra columns are ignored.
+Defined results: a letter is a character of a Unicode category L; null texts and texts without a
+letter give ``und`` with score 0; so does everything when there is nothing to learn from; rows with a
+null lang are not learnt from; equal posteriors go to the language that sorts first; repeated rows
+each get a row; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,19 +23,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
 from .words import mix
 
-#: A word: a run of letters.
-_WORD = re.compile(r"[^\W\d_]+")
+#: A run of letters and of what regular expressions take for such (other numbers, as in superscripts and fractions).
+_RUN = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
 def words_in(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """The runs of letters (Unicode category L) of the lower-cased text."""
+    runs = _RUN.findall(text.lower())
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [w for r in runs for w in ("".join(c if c.isalpha() else " " for c in r).split() if not r.isalpha() else (r,))]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -134,7 +139,7 @@ def sample(labelled: DataFrame, docs_per_lang: int) -> DataFrame:
     return labelled.where(place < share[F.col("lang")]).select("lang", "text")
 
 
-def fit(labelled: DataFrame, docs_per_lang: int = 500, words_per_lang: int = 20_000, grams_per_lang: int = 20_000, orders: tuple[int, ...] = (5, 4, 3, 2, 1), weight: float = 0.5) -> Model:
+def fit(labelled: DataFrame, docs_per_lang: int = 500, orders: tuple[int, ...] = (5, 4, 3, 2, 1), weight: float = 0.5) -> Model:
     """Learn from the columns doc_id, text, lang."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,10 +157,8 @@ def fit(labelled: DataFrame, docs_per_lang: int = 500, words_per_lang: int = 20_
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else ([], [], [], []), (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "n", "gram", "k"])
 
     counted = materialise(sample(labelled.where("lang is not null"), docs_per_lang).mapInArrow(count, "lang string, n int, gram string, k long").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k")), "grams")
-    per_order = max(1, grams_per_lang // len(orders))
-    ranked = counted.where("n > 0 or k > 1").withColumn("rank", F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("k"), "gram")))
     sums = {(r.lang, r.n): (r.total, r.kinds) for r in counted.groupBy("lang", "n").agg(F.sum("k").alias("total"), F.count("*").alias("kinds")).collect()}
-    top = ranked.where(F.col("rank") <= F.when(F.col("n") == 0, words_per_lang).otherwise(per_order)).select("lang", "n", "gram", "k").collect()
+    top = counted.select("lang", "n", "gram", "k").collect()  # the sample bounds it
     langs = sorted({lang for lang, _ in sums})
     at_lang = {lang: i for i, lang in enumerate(langs)}
     rows: dict[tuple[int, str], int] = {}
