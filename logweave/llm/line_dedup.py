@@ -1,11 +1,13 @@
 """Line duplicates across documents, with DataFrame functions only.
 
-The hashes of the long lines are range-partitioned by (key, document) and sorted within a key by
-document, largest first, then position. The first document of a key is the one that keeps its
-lines; a grouped maximum finds it, so nothing relies on the order of the sorted rows. Because the range bounds include the document, a line that a third of all documents hold is
-spread over many tasks; the per-key count and first document are combined map-side before the one
-exchange by key. What comes back for a document is no text but its keep bitmap, compressed to the
-runs of dropped lines, and the text is cut once, where it lies.
+The hashes of the long lines are range-partitioned by (key, slice) and sorted within by document, largest
+first, then position; a slice is a part of a key's documents by hash, as many as it takes for no slice to
+hold more than about ``SLICE`` rows. The sorted rows are streamed once: a line whose document differs from
+that of the line before it is its document's first occurrence, the first of a slice its first holder. Only
+these go on, combined by key where they are, so that a line that a third of all documents hold is many
+tasks' work. Hot keys' first holders are sent to their lines, all others meet them by key. What
+comes back for a document is no text but its keep bitmap, compressed to the runs of dropped lines.
+The texts meet their bitmaps by document, in one exchange.
 
 Defined results: a null or empty text is one empty line; documents are told apart by doc_id, so
 rows that repeat an id count once and each gets its own result; a null doc_id sorts before all
@@ -17,11 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_STR, materialise, parallelism
+from .common import SPACE_STR, join_counted, materialise, parallelism
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NULL_ID = -(1 << 63)
 ROW = ["_doc", "_text_hash"]
+#: Lines of a key that lie together.
+SLICE = 1_000_000
 
 
 def lines_of(text: Column) -> Column:
@@ -43,14 +47,23 @@ def long_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return rows.select(*ROW, F.col("l.pos").alias("pos"), key.alias("key")).select(*ROW, "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
 
 
-def dropped_runs(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, salts: int = 8) -> DataFrame:
+def first_occurrences(lines: DataFrame, n_lines: int) -> DataFrame:
+    """h1, h2, _doc of each line, and whether it is its document's first one with that key; streamed over the sorted ranges."""
+    slices = n_lines // SLICE + 1
+    sliced = lines.withColumn("slice", F.pmod(F.xxhash64("_doc"), F.lit(slices)))
+    ranged = sliced.repartitionByRange(parallelism(lines.sparkSession), "h1", "h2", "slice").sortWithinPartitions("h1", "h2", "slice", F.desc("_doc"), "pos")
+    stream = Window.partitionBy("h1", "h2", "slice").orderBy(F.desc("_doc"), "pos")
+    before = F.lag("_doc").over(stream)
+    return ranged.withColumn("before", before).select("h1", "h2", "_doc", (F.col("before").isNull() | (F.col("before") != F.col("_doc"))).alias("is_first"))
+
+
+def dropped_runs(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """_doc, _text_hash, runs: the keep bitmap of each document that loses lines, as runs (start, n) of dropped lines."""
     lines = materialise(long_lines(docs, min_chars), "lines")
-    ranged = lines.repartitionByRange(parallelism(docs.sparkSession), "h1", "h2", "_doc").sortWithinPartitions("h1", "h2", F.desc("_doc"), "pos")
-    first = ranged.select("h1", "h2", "_doc").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("_doc").alias("first_doc")).where(F.col("n_docs") >= min_docs)
-    spread = first.select("h1", "h2", "first_doc", F.explode(F.array(*map(F.lit, range(salts)))).alias("salt"))
-    salted = lines.withColumn("salt", F.pmod("_text_hash", F.lit(salts)).cast("int"))
-    lost = salted.join(spread, ["h1", "h2", "salt"]).where(F.col("_doc") != F.col("first_doc")).select(*ROW, "pos").distinct()
+    n_lines = lines.count()
+    first = first_occurrences(lines, n_lines).groupBy("h1", "h2").agg(F.count(F.when(F.col("is_first"), 1)).alias("n_docs"), F.max("_doc").alias("first_doc"), F.count("*").alias("n"))
+    first = materialise(first.where(F.col("n_docs") >= min_docs).select("h1", "h2", "first_doc", "n"), "first")
+    lost = join_counted(lines, first, ["h1", "h2"], "n", n_lines).where(F.col("_doc") != F.col("first_doc")).select(*ROW, "pos").distinct()
     island = F.col("pos") - F.row_number().over(Window.partitionBy(*ROW).orderBy("pos"))
     runs = lost.withColumn("island", island).groupBy(*ROW, "island").agg(F.min("pos").alias("start"), F.count("*").cast("int").alias("n"))
     return runs.groupBy(*ROW).agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("runs"))

@@ -159,7 +159,16 @@ def test_near_sets(spark, table):
 # ---- lines
 
 
-def test_lines(spark, table):
+def test_lines_are_streamed(spark, table):
+    """The sorted ranges feed the window without another exchange."""
+    lines = line_dedup.long_lines(table([(i, "x" * 50) for i in range(20)]), 40)
+    plan = line_dedup.first_occurrences(lines, 20)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and plan.count("Sort [") == 1 and "Window [" in plan and "hashpartitioning(h1" not in plan
+
+
+@pytest.mark.parametrize("size", [1_000_000, 50])
+def test_lines(spark, table, monkeypatch, size):
+    monkeypatch.setattr(line_dedup, "SLICE", size)
     rng = random.Random(4)
     lines = [prose(rng, n) for n in (3, 8, 9, 10, 11)] + ["Ä" * 40, "x" * 39, "x" * 40]
     rows = [(i, "\n".join(rng.choice([" %s\t", "%s", "%s\r"]) % rng.choice([str.upper, str])(rng.choice(lines)) for _ in range(rng.randrange(1, 9)))) for i in range(80)] + ODD

@@ -1,6 +1,7 @@
 """The pipeline's stages one by one on a small corpus, and the registered queries' columns."""
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -34,19 +35,29 @@ def test_stages(spark, corpus):
         out = stage(spark, docs, corpus)
         rows = out.collect()
         ids.append({r.doc_id for r in rows})
-        assert len(rows) == len(ids[-1]) and ids[-1] <= ids[-2], name
+        assert ids[-1] <= ids[-2], name
         if name != "mixing":
+            assert len(rows) == len(ids[-1])
             assert out.columns == docs.columns
             docs = spark.createDataFrame(rows, docs.schema)
     lost = [a - b for a, b in zip(ids, ids[1:], strict=False)]
     assert len(lost[0] & set(range(400, 490))) >= 88 and not lost[0] - set(range(400, 490))
     assert len(lost[1]) == 10 and all(i >= 200 or 200 + i in ids[2] for i in lost[1])
     assert lost[2] <= {20 + i for i in range(5)} | {300 + i for i in range(5)}
-    assert lost[3] == set(range(600, 605)) and not lost[4]
+    assert lost[3] == set(range(600, 605))
+    # the mix is realised: texts come back, as often as decided, some twice and some not at all
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert all(texts[r.doc_id] == r.text for r in rows) and {r.copy for r in rows} == {1, 2} and lost[4]
+    times = Counter(r.doc_id for r in rows)
+    assert all(times[r.doc_id] == r.copies for r in rows) and rows[0].exponent < 1
+    tokens = Counter()
+    for r in rows:
+        tokens[r.source] += r.tokens
+    assert max(tokens.values()) < 1.1 * min(tokens.values())
 
 
 def test_run_and_queries(spark, corpus):
-    assert corpus_pipeline.run(spark, corpus).count() > 100
+    assert corpus_pipeline.run(spark, corpus).count() > 80
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] and set(queries.oracle_sql()) <= set(names)
     want = {
