@@ -222,6 +222,23 @@ _Q = {
         CASE WHEN attempt > 0 AND lsn <= el THEN el END AS end_lsn FROM en"""),
     "consistency_check": (ITEMS + "," + HOLED, """SELECT region_id, arg_min(prev, lsn) AS last_valid FROM
         (SELECT region_id, lsn, first_index, lag(last_index) OVER (PARTITION BY region_id ORDER BY lsn) AS prev FROM holed WHERE kind = 'ENTRIES') WHERE prev + 1 < first_index GROUP BY region_id"""),
+    "repair_filter": ("RECURSIVE " + ITEMS + "," + HOLED + """,
+        h AS (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY file_seq, lsn) AS rn FROM holed),
+        v(region_id, rn, f, c, lsn, kind, a, b, ins) AS (
+            SELECT DISTINCT region_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), false FROM h
+            UNION ALL SELECT region_id, rn, CASE kind WHEN 'ENTRIES' THEN CASE WHEN ins OR c = 0 THEN a ELSE f END WHEN 'CLEAN' THEN 0
+                    WHEN 'COMPACT' THEN CASE WHEN c = 0 OR a <= f THEN f WHEN a >= f + c - 1 THEN 0 ELSE a END ELSE f END,
+                CASE kind WHEN 'ENTRIES' THEN b - CASE WHEN ins OR c = 0 THEN a ELSE f END + 1 WHEN 'CLEAN' THEN 0 WHEN 'COMPACT' THEN CASE WHEN c <> 0 AND a > f AND a >= f + c - 1 THEN 0 ELSE c END ELSE c END,
+                lsn, kind, a, b, ins FROM (SELECT h.region_id, h.rn, h.lsn, h.kind, h.first_index AS a, h.last_index AS b, v.f, v.c,
+                    h.kind = 'ENTRIES' AND v.c <> 0 AND NOT h.first_index BETWEEN v.f AND v.f + v.c AS ins FROM v JOIN h ON h.region_id = v.region_id AND h.rn = v.rn + 1))""",
+        """SELECT lsn, region_id, kind, a AS first_index, b AS last_index, false AS inserted FROM v WHERE rn > 0
+        UNION ALL SELECT lsn, region_id, 'COMPACT', 9223372036854775807, NULL, true FROM v WHERE rn > 0 AND ins"""),
+    "checksum_crc32": ("RECURSIVE " + KVS + """,
+        tb(n, c, i) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i + 1 FROM tb WHERE i < 8),
+        tbl AS (SELECT list(c ORDER BY n) AS t FROM tb WHERE i = 8),
+        crc AS (SELECT region_id, key, file_seq, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(value) + 1), lambda i : CAST(ascii(substr(value, i, 1)) AS BIGINT))),
+            lambda c, b : xor(t[xor(c & 255, b) + 1], c >> 8)), 4294967295) AS crc FROM kvs, tbl)""",
+        "SELECT region_id, key, CAST(crc AS BIGINT) AS crc, CAST(xor(crc, file_seq & 4294967295) AS BIGINT) AS signed_crc FROM crc"),
     "batch_merge": (ITEMS, "SELECT lsn // 20 AS batch_id, CAST(row_number() OVER (PARTITION BY lsn // 20 ORDER BY lsn) - 1 AS INTEGER) AS item_no, lsn, region_id, kind FROM items WHERE kind <> 'CLEAN'"),
     "aligned_offsets": (ITEMS, "SELECT lsn, (lsn * 37 + 511) // 512 * 512 AS up, lsn * 37 // 512 * 512 AS down FROM items"),
 }

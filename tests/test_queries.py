@@ -26,7 +26,7 @@ def con():
 
 
 def test_sql_is_for_queries():
-    assert SQL.keys() <= QUERIES.keys() and QUERIES.keys() - SQL.keys() == {"repair_filter", "checksum_crc32"}
+    assert SQL.keys() == QUERIES.keys()
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
