@@ -26,6 +26,8 @@ _NULL_ID = -(1 << 63)
 ROW = ["_doc", "_text_hash"]
 #: Lines of a key that lie together.
 SLICE = 1_000_000
+#: Slices at least, so that a hot line is many ranges of a small table too.
+SLICES = 64
 
 
 def lines_of(text: Column) -> Column:
@@ -49,7 +51,7 @@ def long_lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def first_occurrences(lines: DataFrame, n_lines: int) -> DataFrame:
     """h1, h2, _doc of each line, and whether it is its document's first one with that key; streamed over the sorted ranges."""
-    slices = n_lines // SLICE + 1
+    slices = max(SLICES, n_lines // SLICE + 1)
     sliced = lines.withColumn("slice", F.pmod(F.xxhash64("_doc"), F.lit(slices)))
     ranged = sliced.repartitionByRange(parallelism(lines.sparkSession), "h1", "h2", "slice").sortWithinPartitions("h1", "h2", "slice", F.desc("_doc"), "pos")
     stream = Window.partitionBy("h1", "h2", "slice").orderBy(F.desc("_doc"), "pos")
