@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import and_end, materialise, parallelism, slices, utf8
+from .common import and_end, join_counted, materialise, parallelism, slices, utf8
 from .components import components, forest
 
 U = np.uint64
@@ -153,13 +153,17 @@ def near_links(distinct: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fp.view(np.int64))], ["key", "fp"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp = np.zeros(0, np.int64), np.zeros(0, U)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in and_end(batches):
             if batch is not None:
-                key = np.concatenate([key, batch.column(0).to_numpy()])
-                fp = np.concatenate([fp, batch.column(1).to_numpy().view(U)])
-            if not len(key):
+                if not batch.num_rows:
+                    continue
+                held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().view(U)))
+                if held[0][0][0] == held[-1][0][-1]:  # one key so far: joined when it ends
+                    continue
+            if not held:
                 continue
+            key, fp = (np.concatenate(c) for c in zip(*held, strict=True))
             edge = np.flatnonzero(key[1:] != key[:-1]) + 1
             cuts = np.concatenate([[0], edge, [len(key)]]) if batch is None else np.concatenate([[0], edge])
             a, b = [np.zeros(0, U)], [np.zeros(0, U)]
@@ -167,7 +171,7 @@ def near_links(distinct: DataFrame) -> DataFrame:
                 x, y = links(np.unique(fp[cuts[i] : cuts[i + 1]]))
                 a.append(x)
                 b.append(y)
-            key, fp = key[cuts[-1] :], fp[cuts[-1] :]
+            held = [(key[cuts[-1] :], fp[cuts[-1] :])] if cuts[-1] < len(key) else []
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a).view(np.int64)), pa.array(np.concatenate(b).view(np.int64))], ["a", "b"])
 
     keyed = distinct.select("fp").mapInArrow(emit, "key long, fp long")
@@ -182,8 +186,8 @@ def simhash_classes(docs: DataFrame, hot_rows: int = 8) -> DataFrame:
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", "root")
     joined = distinct.join(roots.select("root").distinct(), distinct.fp == F.col("root"), "left_semi")
     linked = rooted.where("root is not null").unionByName(joined.select("fp", "first_id", F.col("fp").alias("root")))
-    least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = linked.join(least, "root").select("fp", "component_id")
+    least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
+    named = join_counted(linked, least, ["root"], "n", linked.count()).select("fp", "component_id")
     classes = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"), "n")
     # fingerprints with a thousandth of all rows or more are at most HOT; they are sent to their rows, which stay spread out
     least = max(hot_rows, prints.count() // HOT + 1)
