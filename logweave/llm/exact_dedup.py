@@ -26,8 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise, slices, utf8
+from .common import SPACE, materialise, parallelism, slices, utf8
 
+#: What an id of one more copy counts for in a block.
+ID_BYTES = 64
 LOCAL = "digest binary, content binary, best_len long, best_id long, n long, ids array<long>"
 
 
@@ -65,6 +67,7 @@ def local_groups(docs: DataFrame, block_bytes: int = 8 << 20, with_content: bool
                     held += len(content)
                 else:
                     g[2].append(doc_id)
+                    held += ID_BYTES
                     if (-n, doc_id is None, doc_id or 0) < (-g[0], g[1] is None, g[1] or 0):
                         g[0], g[1] = n, doc_id
                 if held > block_bytes:
@@ -86,11 +89,13 @@ def classes(local: DataFrame, salts: int, by: list[str]) -> DataFrame:
     return whole.select(*by, (-F.col("best.neg_id")).alias("keep_id"), "group_size")
 
 
-def exact_dedup(docs: DataFrame, salts: int = 16, digest_bytes: int = 32) -> DataFrame:
+def exact_dedup(docs: DataFrame, salts: int | None = None, digest_bytes: int = 32) -> DataFrame:
     """doc_id, keep_id, group_size, kept, digest for every row of ``docs``.
 
-    ``digest_bytes`` shortens the digest; tests force collisions with it.
+    ``salts`` (16 or as many as there are shuffle partitions) grow with the cluster; ``digest_bytes`` shortens the digest,
+    tests force collisions with it.
     """
+    salts = salts or max(16, parallelism(docs.sparkSession))
     found = materialise(classes(local_groups(docs, digest_bytes=digest_bytes), salts, ["digest"]), "classes")
     shared = found.groupBy("digest").agg(F.count("*").alias("k")).where("k > 1").select("digest")
     members = local_groups(docs, with_content=False, digest_bytes=digest_bytes).select("digest", "ids")
@@ -104,7 +109,7 @@ def exact_dedup(docs: DataFrame, salts: int = 16, digest_bytes: int = 32) -> Dat
     return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
-def keep_first(docs: DataFrame, salts: int = 16) -> DataFrame:
+def keep_first(docs: DataFrame, salts: int | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, that stay; of repeated rows with one doc_id each stays or goes with its id."""
     kept = exact_dedup(docs, salts).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
     return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_keep"]), "left_semi")
