@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import slices, utf8
 from .words import U, blocks, shingle_hashes, word_hashes
@@ -32,15 +33,18 @@ from .words import U, blocks, shingle_hashes, word_hashes
 _BASE = 0x2545F4914F6CDD1D
 
 
-def _window_hashes(x: np.ndarray, free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, running hash) of each window of ``size`` free positions."""
+def _powers(n: int) -> np.ndarray:
+    power = np.full(n, _BASE, U)
+    power[:1] = 1
+    np.multiply.accumulate(power, out=power)
+    return power
+
+
+def _window_hashes(x: np.ndarray, total: np.ndarray, power: np.ndarray, free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, running hash) of each window of ``size`` free positions; ``total`` are the running sums of x times ``power``."""
     if len(x) < size:
         return np.zeros(0, int), np.zeros(0, U)
     taken = np.concatenate([[0], np.cumsum(~free)])
-    power = np.full(len(x), _BASE, U)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
-    total = np.concatenate([np.zeros(1, U), np.cumsum(x * power)])
     start = np.flatnonzero(taken[size:] == taken[:-size])
     return start, (total[start + size] - total[start]) * power[len(x) - 1 - start]  # brought to one common power
 
@@ -50,10 +54,12 @@ def tile(doc: np.ndarray, item: np.ndarray, free: np.ndarray, min_tile: int) ->
     free, left = free.copy(), np.ones(len(item), bool)
     tiles: list[tuple[int, int, int]] = []
     size = len(item)
+    # the hashes of both sides have the same scale because the item is laid after the document
+    both = np.concatenate([doc, item])
+    power = _powers(len(both))
+    total = np.concatenate([np.zeros(1, U), np.cumsum(both * power)])
     while size >= min_tile:
-        # the hashes of both sides have the same scale because the item is laid after the document
-        both, both_free = np.concatenate([doc, item]), np.concatenate([free, left])
-        start, h = _window_hashes(both, both_free, size)
+        start, h = _window_hashes(both, total, power, np.concatenate([free, left]), size)
         in_doc = start + size <= len(doc)
         in_item = start >= len(doc)
         places: dict[int, list[int]] = {}
@@ -131,6 +137,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     """doc_id, contaminated, coverage (the largest), item_id (its item), item_ids (all over the threshold) of every row of ``docs``."""
     spark = docs.sparkSession
     item_type, doc_type = (df.schema[c].dataType.simpleString() for df, c in ((benchmark, "item_id"), (docs, "doc_id")))
+    item_arrow = to_arrow_type(benchmark.schema["item_id"].dataType)
     size = benchmark.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 64)).first()[0] or 0
     parts = int(size // part_bytes) + 1
     schema = f"doc_id {doc_type}, _row long, found array<struct<coverage:double,item_id:{item_type}>>"
@@ -144,7 +151,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
                 for a, b in blocks(texts):
                     found += seeds.find(texts[a:b], min_tile)
                 over = [[{"coverage": c, "item_id": i} for i, c in f] for f in found]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(over, pa.list_(pa.struct([("coverage", pa.float64()), ("item_id", _arrow_type(item_type))])))], ["doc_id", "_row", "found"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(over, pa.list_(pa.struct([("coverage", pa.float64()), ("item_id", item_arrow)])))], ["doc_id", "_row", "found"])
 
         return run
 
@@ -163,10 +170,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     return found.select("doc_id", (F.size(over) > 0).alias("contaminated"), F.coalesce(-best["less"], F.lit(0.0)).alias("coverage"), best["item_id"].alias("item_id"), over.alias("item_ids"))
 
 
-def _arrow_type(name: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "string": pa.string()}[name]
-
-
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, whose document holds no item."""
     bad = decontaminate(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()

@@ -235,6 +235,9 @@ def test_decontamination(spark, table):
     assert kept.columns == table([]).columns and {r.doc_id for r in kept.collect()} == {i for i in got if i not in held}
     assert not any(r.contaminated for r in decontaminate.decontaminate(table(rows), benchmark.limit(0)).collect())
     assert decontaminate.decontaminate(table([]), benchmark).collect() == []
+    for kind in ("decimal(10,0)", "double", "tinyint", "string"):
+        typed = decontaminate.decontaminate(table(rows[:2]), benchmark.withColumn("item_id", benchmark.item_id.cast(kind)))
+        assert typed.schema["item_id"].dataType.simpleString() == kind and [r.contaminated for r in typed.orderBy("doc_id").collect()] == [True, True]
 
 
 def plain_tiles(doc, item, least):
