@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star rounds.
 
 Each round keeps at most as many edges as there are nodes and links; nothing is collected but a
-row of counts. Before the first round every partition replaces its edges by a spanning forest.
+row of counts. Before the first round every partition replaces its edges by a spanning forest. The
+neighbours of a node with many stay where they lie: its least neighbour is sent to them.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialise
+from .common import drop_scratch, join_counted, materialise
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,13 +59,14 @@ def components(edges: DataFrame) -> DataFrame:
     before = mark(now)
     while before[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = flow(large)
-        least = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.*")
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"), F.count("*").alias("n"))
+        met = join_counted(both, low, ["a"], "n", 2 * before[0])
+        large = materialise(flow(met.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))), "edges")
+        least = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
+        small = join_counted(large, least, ["a"], "n", before[0]).select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.*")
         following = materialise(flow(small), "edges")
         drop_scratch(now.sparkSession, now)
+        drop_scratch(now.sparkSession, large)
         now, after = following, mark(following)
         if after == before:
             break

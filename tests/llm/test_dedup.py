@@ -124,6 +124,7 @@ def test_large_runs_by_neighbours(monkeypatch):
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(70)] + [(7, 7), (300, 301), (301, 300)]
+    edges += [(hub, 10_000 * k + i) for k, hub in enumerate((400, 90_000), 1) for i in range(1500)]  # hot nodes, smallest and largest of their component
     rng.shuffle(edges)
     want = plain_components({x for e in edges for x in e}, edges)
     df = spark.createDataFrame(edges, "a long, b long").repartition(7)
