@@ -246,6 +246,10 @@ def test_edit_distance():
     for _ in range(300):
         a, b = ([rng.randrange(6) for _ in range(rng.randrange(12))] for _ in range(2))
         assert substring_dedup.edit_distance(a, b) == plain_distance(a, b)
+        for threshold in (0.5, 0.7, 0.8, 0.9):
+            assert substring_dedup.similar(a, b, threshold) == (plain_distance(a, b) <= (1 - threshold) * max(len(a), len(b)) + 1e-9)
+    packed = [rng.randbytes(5 * rng.randrange(1, 40)) for _ in range(50)]
+    assert substring_dedup.word_lists(packed) == [substring_dedup.words_of(p) for p in packed]
 
 
 @pytest.mark.parametrize("group", [2000, 1])
