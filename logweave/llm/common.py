@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise, scratch, shared_dir
 
-__all__ = ["SPACE", "SPACE_STR", "HOT", "and_end", "documents", "drop_scratch", "fold", "join_counted", "materialise", "parallelism", "scratch", "shared_dir", "slices", "utf8"]
+__all__ = ["SPACE", "SPACE_STR", "HOT", "and_end", "documents", "drop_scratch", "fold", "give_back", "join_counted", "materialise", "parallelism", "scratch", "shared_dir", "slices", "utf8"]
 
 #: ASCII white space, as the contracts spell it: space and 0x09 to 0x0D.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -48,6 +49,14 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks, and idle ones would keep it beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
 
 
 def and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
