@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise, scratch, shared_dir
 
-__all__ = ["SPACE", "SPACE_STR", "HOT", "and_end", "documents", "drop_scratch", "fold", "give_back", "join_counted", "materialise", "parallelism", "scratch", "shared_dir", "slices", "utf8"]
+__all__ = ["SPACE", "SPACE_STR", "HOT", "and_end", "documents", "drop_scratch", "fold", "free_shuffles", "give_back", "join_counted", "materialise", "parallelism", "scratch", "shared_dir", "slices", "utf8"]
 
 #: ASCII white space, as the contracts spell it: space and 0x09 to 0x0D.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -37,6 +38,12 @@ def drop_scratch(spark: SparkSession, df_or_path: DataFrame | str) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are done, which it does once the driver's JVM has collected them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The UTF-8 bytes of a string column; null gives an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,4 +1,4 @@
-"""Repeated passages across documents: MinHash banding of content-anchored paragraphs.
+"""Repeated passages across documents: MinHash sketches of content-anchored paragraphs.
 
 Passages that documents share seldom begin where a line does, so paragraphs are cut by content: a
 word is an anchor if the hash of the two words from it is the smallest in some window of ``window``
@@ -8,19 +8,23 @@ of fewer than ``words`` words, but at least ``least``, is one paragraph.
 
 Two paragraphs are similar if their edit distance in words is at most 1 - ``threshold`` of the longer
 (6 of 30). Jaccard similarity of their 5-word shingles would lose a passage for one changed word in
-its middle; edit distance doesn't, and bands are tuned for that: ``tune_bands`` for the Jaccard
-similarity that the 3-word shingles of a paragraph have left with a word changed every 20 words.
-
-1. Bands of MinHash values of a paragraph's 3-word shingles are keys; the keys that two or more
-   documents have are gathered (packed arrays, a row for each task and bucket) into a sorted array.
-2. Paragraphs with such a key leave (hash, smallest and largest document) and (key, hash) pairs. Equal
-   paragraphs need no more. Keys that unite different paragraphs are the candidate groups; where all of
-   a key's paragraphs have the same first and last document, copies of one text, nothing is to be united.
-3. Only for those the words are fetched. A group's paragraphs that share one of their rarest words (rare
-   within the group) meet, as similar ones always do, and each is compared with the members of a cluster
-   until one is similar. A group of more than ``GROUP`` is no task's work as a whole: there each paragraph
-   is first compared with the smallest of the group, dealt by pair, and where that leaves more than one
-   component, the rarest words are keys of their own.
+its middle; edit distance doesn't. An edit changes at most three of a paragraph's 3-word shingles, so two
+similar paragraphs of 30 words share at least 10 of 28. Bands of several MinHash values would lose pairs
+with that many edits, so each value is a band of its own, and as many are taken as lose none: the 19 smallest
+of the 28 (a bottom-k sketch) of one paragraph and those of the other have one in common, whatever the order
+(``Shape.sketches``; one edit of five words leaves no 3-word shingle, so such texts have 2-word ones too).
+
+1. The shingles that two or more rows have are gathered (packed arrays, a row for each task and bucket) into
+   a sorted array, with how frequent they are. The order of the sketches is by that, then by hash: rare
+   shingles first. A paragraph with fewer than 10 such shingles has no similar one in another document.
+2. The other paragraphs leave (hash, smallest and largest document) and (key, hash) pairs, a key for each
+   such shingle of the sketch. Equal paragraphs need no more. Keys that unite different paragraphs are the
+   candidate groups; where all of a key's paragraphs have the same first and last document, copies of one
+   text, nothing is to be united.
+3. Only for those the words are fetched, into a sorted array where the groups' tasks look them up. All pairs
+   of a group are compared (``unite``), a bit mask of their words first. A group of more than ``GROUP`` is no
+   task's work as a whole: there each paragraph is first compared with the smallest of the group, dealt by
+   pair, and where that leaves more than one component, the rarest words are keys of their own.
 4. Linked paragraphs form components. Of each component the smallest doc_id keeps its paragraphs; the
    other documents lose theirs. The verdicts are a sorted array too: each document looks its own
    paragraphs up where it lies, so no passage is ever a join key.
@@ -34,7 +38,6 @@ words have no paragraph; extra columns are ignored; an empty table gives no rows
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,8 +46,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import and_end, join_counted, materialise, parallelism, scratch, slices, utf8
-from .components import components
+from .common import and_end, drop_scratch, free_shuffles, give_back, join_counted, materialise, parallelism, scratch, slices, utf8
+from .components import components, forest
 from .hashstore import BLOCK, Store, block_batch, buckets_for, build, sum_by_key, to_blocks, unpack, write_array
 from .words import U, blocks, join_hash, mix, shingle_hashes, word_hashes
 
@@ -52,8 +55,6 @@ NULL_ID = (1 << 63) - 1
 BUCKET_BYTES = 12 << 20
 #: Paragraphs of a group that one task compares.
 GROUP = 2000
-#: Paragraphs of a group that are compared without the help of rare words.
-FEW = 6
 #: Of a word's hash as many bytes are compared: two different ones of a pair agree with a chance of 1 in 10**12.
 WORD_BYTES = 5
 
@@ -78,8 +79,9 @@ def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
     return f(x[: len(x) - (width - done)], x[width - done :]) if done < width else x
 
 
-#: Jaccard similarity of the shingles of two paragraphs of 30 words with a word changed every 20: 28 shingles, 3 lost to each change.
-EDITED = (28 - 4.5) / (28 + 4.5)
+def edits(n: int, threshold: float) -> int:
+    """How many words of the longer of two similar paragraphs, of n words, are changed, added or dropped at most."""
+    return int((1 - threshold) * n + 1e-9)
 
 
 @dataclass(frozen=True)
@@ -87,14 +89,24 @@ class Shape:
     words: int = 30
     window: int = 16
     anchor: int = 2
-    shingle: int = 3  # of band keys
+    shingle: int = 3  # of keys
     least: int = 5  # words of the shortest text that is a paragraph
     threshold: float = 0.8
-    bands: int = tune_bands(EDITED, 0.89, 6)[0]
-    rows: int = tune_bands(EDITED, 0.89, 6)[1]
 
-    def multipliers(self) -> np.ndarray:
-        return np.random.default_rng(7).integers(1, 1 << 63, (2, self.bands * self.rows), dtype=np.int64).astype(U) * U(2) + U(1)
+    def sketches(self, n: int) -> dict[int, int]:
+        """For a paragraph of n words: length of a shingle -> how many a similar paragraph shares at the least.
+
+        An edit changes at most q shingles of q words, so paragraphs k edits apart, the longer of m words, share
+        m - q + 1 - k * q. Where that is none (one edit in 5 words), shorter shingles serve.
+        """
+        out: dict[int, int] = {}
+        for m in range(n, self.words + 1):
+            k = edits(m, self.threshold)
+            if m - n > k:
+                break
+            q = max(q for q in range(1, self.shingle + 1) if q == 1 or m - q + 1 - k * q > 0)
+            out[q] = min(out.get(q, m), max(1, m - q + 1 - k * q))
+        return out
 
 
 class Paragraphs:
@@ -103,6 +115,7 @@ class Paragraphs:
 
     def __init__(self, texts: list[bytes], shape: Shape):
         self.shape = shape
+        self._shingles: dict[int, np.ndarray] = {}
         h, self.first = word_hashes(texts)
         self.h = h
         n, w = shape.words, shape.window
@@ -126,9 +139,6 @@ class Paragraphs:
         if self.long:
             self.unit[: self.long] = _slide(h, n, join_hash)[at]
         self.unit[self.long :] = self._each(h, self.size[self.long :], lambda a, b: mix(a * U(3) + b))
-        if len(self.at):
-            self.shingles = shingle_hashes(h, self.first, shape.shingle)[0]
-
     def _each(self, x: np.ndarray, counts: np.ndarray, f) -> np.ndarray:
         """f over the ``counts`` values of x from the start of each short paragraph on."""
         at = self.at[self.long :]
@@ -138,24 +148,65 @@ class Paragraphs:
             out[more] = f(out[more], x[at[more] + k])
         return out
 
-    def keys(self) -> np.ndarray:
-        """Band keys: a row for each paragraph."""
-        s = self.shape
-        out = np.zeros((len(self.at), s.bands), U)
-        if len(self.at):
-            a, c = s.multipliers()
-            for i in range(s.bands):
-                key = np.full(len(self.at), i, U)
-                for k in range(i * s.rows, (i + 1) * s.rows):
-                    x = (self.shingles ^ c[k]) * a[k]
-                    least = _slide(x, s.words - s.shingle + 1, np.minimum)[self.at[: self.long]] if self.long else x[:0]
-                    key = join_hash(key, np.concatenate([least, self._each(x, self.size[self.long :] - s.shingle + 1, np.minimum)]))
-                out[:, i] = key
-        return out
+    def by_size(self) -> Iterator[tuple[np.ndarray, int, int, int]]:
+        """(paragraphs, their words, length of shingles, how many of these a similar one shares) for each kind of sketch."""
+        for n in np.unique(self.size).tolist():
+            which = np.arange(self.long) if n == self.shape.words else self.long + np.flatnonzero(self.size[self.long :] == n)
+            for q, shared in self.shape.sketches(n).items():
+                yield which, n, q, shared
+
+    def shingles(self, q: int) -> np.ndarray:
+        """The shingle of q words from each word on, as a key: 48 bits, told from those of other lengths."""
+        if q not in self._shingles:
+            keys = shingle_hashes(self.h, self.first, q)[0]
+            self._shingles[q] = (keys if q == self.shape.shingle else join_hash(keys, np.array([q], U))) & ~U(0xFFFF)
+        return self._shingles[q]
+
+    def places(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(length of shingles, first words of those that paragraphs hold), in turn."""
+        held: dict[int, np.ndarray] = {}
+        for which, n, q, _ in self.by_size():
+            mark = held.setdefault(q, np.zeros(len(self.h) + 1, np.int64))
+            mark[self.at[which]] += 1
+            mark[self.at[which] + n - q + 1] -= 1
+        for q, mark in held.items():
+            yield q, np.flatnonzero(np.cumsum(mark[:-1]))
 
-    def packed(self, i: int) -> bytes:
-        """The words of a paragraph, WORD_BYTES bytes of each hash."""
-        return np.ascontiguousarray(self.h[self.at[i] : self.at[i] + self.size[i], None].view(np.uint8)[:, -WORD_BYTES:]).tobytes()
+    def keys(self) -> np.ndarray:
+        """All shingles of each paragraph: a row for each, filled up with its first."""
+        out = np.zeros((len(self.at), 0), U)
+        for which, n, q, _ in self.by_size():
+            more = np.zeros((len(self.at), n - q + 1), U)
+            more[which] = self.shingles(q)[self.at[which, None] + np.arange(n - q + 1)]
+            out = np.concatenate([out, more], axis=1)
+        return np.where(out == 0, out.max(axis=1, keepdims=True, initial=0), out)
+
+    def sketch(self, kind: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(paragraph, key) of the MinHash sketches: of the shingles, in one order for all paragraphs, the smallest ones.
+
+        ``kind``: for each place how frequent its shingle is, 0 if one document has it; rarer ones are smaller. Of N
+        shingles, ``shared`` in common, two paragraphs share one of the N - shared + 1 smallest. One with fewer than
+        ``shared`` that other documents have is similar to none there.
+        """
+        rows, keys = [np.zeros(0, int)], [np.zeros(0, U)]
+        for which, n, q, shared in self.by_size():
+            at = self.at[which, None] + np.arange(n - q + 1)
+            often = kind[q][at]
+            some = np.flatnonzero((often > 0).sum(axis=1) >= shared)
+            often, values = often[some], self.shingles(q)[at[some]]
+            order = np.argsort((often.astype(U) << U(48)) | values >> U(16), axis=1)[:, : n - q + 2 - shared]
+            row, col = np.nonzero(np.take_along_axis(often, order, axis=1))
+            rows.append(which[some][row])
+            keys.append(np.take_along_axis(values, order, axis=1)[row, col])
+        return np.concatenate(rows), np.concatenate(keys)
+
+    def packed(self, which: np.ndarray) -> np.ndarray:
+        """The words of paragraphs, WORD_BYTES bytes of each hash, filled up with zeros."""
+        nth = np.arange(self.shape.words)
+        inside = nth < self.size[which, None]
+        at = np.where(inside, self.at[which, None] + nth, 0)
+        words = self.h.view(np.uint8).reshape(-1, 8)[:, -WORD_BYTES:][at] * inside[:, :, None]
+        return np.ascontiguousarray(words).reshape(len(which), -1).view(f"V{WORD_BYTES * self.shape.words}").ravel()
 
 
 def words_of(data: bytes) -> list[int]:
@@ -267,6 +318,143 @@ def cluster(units: list[int], prefixes: list[list], alike, roots: list[int] | No
     return out
 
 
+def similar_rows(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, threshold: float) -> np.ndarray:
+    """``similar`` for each row of words of x and y (nx and ny of them), by ``edit_distance`` for all rows at once."""
+    if x.shape[1] > 63:
+        return np.array([similar(a[:n].tolist(), b[:m].tolist(), threshold) for a, n, b, m in zip(x, nx, y, ny, strict=True)], bool)
+    out = np.zeros(len(x), bool)
+    bits = np.zeros((len(x), 8), np.uint8)
+    one = U(1)
+    full, top = (one << nx.astype(U)) - one, (nx - 1).astype(U)
+    plus, minus, score = full.copy(), np.zeros(len(x), U), nx.astype(np.int64)
+    for j in range(int(ny.max(initial=0))):
+        found = np.packbits(x == y[:, j : j + 1], axis=1, bitorder="little")
+        bits[:, : found.shape[1]] = found
+        eq = bits.view("<u8").ravel() & full
+        vertical = eq | minus
+        eq |= (((eq & plus) + plus) ^ plus) & full
+        up, down = minus | ~(eq | plus) & full, plus & eq
+        on = j < ny
+        score += np.where(on, (up >> top & one).astype(np.int64) - (down >> top & one).astype(np.int64), 0)
+        up, down = (up << one | one) & full, down << one & full
+        plus, minus = np.where(on, down | ~(vertical | up) & full, plus), np.where(on, up & vertical, minus)
+    out[:] = score <= ((1 - threshold) * np.maximum(nx, ny) + 1e-9).astype(np.int64)
+    return out
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, most: int) -> np.ndarray:
+    """False only for rows that more than ``most`` edits tell apart (``x``, ``y``: a byte of each word, filled up with zeros).
+
+    Of as many words, one that stays moves by half the edits at most; all but ``most`` have an equal one that near.
+    """
+    width, reach = x.shape[1], most // 2
+    met = x == y
+    for d in range(1, reach + 1):
+        met[:, d:] |= x[:, d:] == y[:, : width - d]
+        met[:, : width - d] |= x[:, : width - d] == y[:, d:]
+    return (nx != ny) | (width - np.count_nonzero(met, axis=1) <= most)
+
+
+@dataclass(frozen=True)
+class Words:
+    """The words of paragraphs, looked up by their hashes."""
+
+    store: Store
+    shape: Shape
+
+    def packed(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size, words = self.store.lookup(units.view(U), [1, 2])
+        return size.astype(np.int64), words
+
+    def rows(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(words, a row for each paragraph, filled up with zeros; how many each has)."""
+        size, words = self.packed(units)
+        wide = np.zeros((len(units), self.shape.words, 8), np.uint8)
+        if len(units):
+            wide[:, :, :WORD_BYTES] = words.view(np.uint8).reshape(len(units), self.shape.words, WORD_BYTES)
+        return wide.view("<u8")[:, :, 0], size
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; for many integers faster than numpy's ``unique``."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+#: Pairs that a task looks at, and compares, at once.
+AT_ONCE, COMPARED = 300_000, 10_000
+
+
+def unite(group: np.ndarray, unit: np.ndarray, words: Words, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links whose components are those of all similar pairs within the groups (rows in order of ``group``).
+
+    A bit for each of a paragraph's words rules most pairs out: one has no more bits that the other lacks than edits.
+    Members with the same of ``root`` are linked already.
+    """
+    kinds, at = np.unique(unit, return_inverse=True)
+    x, size = words.rows(kinds)
+    low = x.astype(np.uint8)
+    allowed = np.array([edits(n, words.shape.threshold) for n in range(words.shape.words + 1)])
+    most = edits(words.shape.words, words.shape.threshold)
+    inside = np.arange(x.shape[1]) < size[:, None]
+    mask = [np.bitwise_or.reduce(np.where(inside, U(1) << (x >> U(s) & U(63)), U(0)), axis=1)[at] for s in (0, 6)]
+    first = np.flatnonzero(np.diff(group, prepend=~group[:1]))
+    before = np.arange(len(group)) - np.repeat(first, np.diff(first, append=len(group)))  # members that come before
+    total = np.cumsum(before)
+    label = np.arange(len(kinds))
+    a, b = [np.zeros(0, int)], [np.zeros(0, int)]  # links
+    wait: list[np.ndarray] = []
+
+    def compare(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal label
+        for c in range(0, len(i), COMPARED):
+            p, q = i[c : c + COMPARED], j[c : c + COMPARED]
+            good = (size[p] == size[q]) & (np.count_nonzero(x[p] != x[q], axis=1) <= allowed[size[p]])  # words changed, none moved
+            rest = np.flatnonzero(~good)
+            good[rest] = similar_rows(x[p[rest]], size[p[rest]], x[q[rest]], size[q[rest]], words.shape.threshold)
+            a.append(p[good])
+            b.append(q[good])
+        node, least = forest(np.concatenate(a), np.concatenate(b))
+        label = np.arange(len(kinds))
+        label[node] = least
+
+    def verify() -> None:
+        pairs = distinct(np.concatenate(wait))
+        wait.clear()
+        i, j = pairs // len(kinds), pairs % len(kinds)
+        near = [may_be_similar(low[p], low[q], size[p], size[q], most) for c in range(0, len(i), COMPARED) for p, q in [(i[c : c + COMPARED], j[c : c + COMPARED])]]
+        near = np.concatenate([np.zeros(0, bool), *near])
+        i, j = i[near], j[near]
+        for whole in (False, True):  # one pair of each paragraph, then those that are still apart
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+            some = np.arange(len(i)) if whole else np.unique(i, return_index=True)[1]
+            compare(i[some], j[some])
+
+    lo = 0
+    while lo < len(group):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + AT_ONCE)))
+        n = before[lo:hi]
+        left = np.repeat(np.arange(lo, hi), n)
+        right = left - 1 - (np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n))
+        for m in mask:
+            y, z = m[left], m[right]
+            keep = (np.bitwise_count(y & ~z) <= most) & (np.bitwise_count(z & ~y) <= most)
+            left, right = left[keep], right[keep]
+        if root is not None:
+            keep = root[left] != root[right]
+            left, right = left[keep], right[keep]
+        i, j = at[left], at[right]
+        wait.append(distinct(np.maximum(i, j) * len(kinds) + np.minimum(i, j)))
+        if sum(map(len, wait)) > AT_ONCE:
+            verify()
+        lo = hi
+    if wait:
+        verify()
+    node, least = forest(np.concatenate(a), np.concatenate(b))
+    return kinds[node], kinds[least]
+
+
 def _read(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[tuple[np.ndarray, Paragraphs]]:
     """(doc ids, paragraphs) of blocks of the columns doc_id and text."""
     for part in slices(batches):
@@ -277,39 +465,44 @@ def _read(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[tuple[np.
 
 
 def shared_keys(docs: DataFrame, shape: Shape, bits: int) -> Store:
-    """Band keys that two or more documents have (step 1)."""
+    """Shingles of paragraphs that two or more rows have, and how frequent each is (a power of two; step 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        n = 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = rows = 0
 
         def flush() -> pa.RecordBatch:
-            keys, low, high = _range(*map(np.concatenate, zip(*held, strict=True)))
+            keys, row = map(np.concatenate, zip(*held, strict=True))
             held.clear()
-            # one document is told by its id; more need none
-            return block_batch(list(to_blocks(keys, [keys, low, (low != high).astype("u1")], bits)))
+            order = np.argsort(keys, kind="stable")
+            keys, row = keys[order], row[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])  # a row counts once
+            keys = keys[new]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            times = np.minimum(np.diff(first, append=len(keys)), 255)
+            keys = keys[first]
+            return block_batch(list(to_blocks(keys, [(keys >> U(32)).astype("u4"), (keys >> U(16)).astype("u2"), times.astype("u1")], bits)))
 
         for ids, p in _read(batches, shape):
-            if len(p.at):
-                doc = np.repeat(ids[p.text], shape.bands)
-                held.append((p.keys().ravel(), doc, doc))
-                n += len(doc)
-            if n > 600_000:
+            for q, at in p.places():
+                row = np.searchsorted(p.first, at, side="right") - 1 + rows
+                held.append((p.shingles(q)[at], row.astype(np.int32)))
+                n += len(at)
+            rows = (rows + len(ids)) % (1 << 30)
+            if n > 1_000_000:
                 yield flush()
                 n = 0
         if n:
             yield flush()
 
     def merge(arrays: list[np.ndarray]):
-        keys, doc, many = arrays
-        order = np.argsort(keys, kind="stable")
-        keys, doc, many = keys[order], doc[order], many[order].astype(bool)
-        again = keys[1:] == keys[:-1]
-        shared = many.copy()
-        shared[1:] |= again & (doc[1:] != doc[:-1])
-        return [np.unique(keys[shared])], []
+        high, low, times = arrays
+        keys, times = sum_by_key(high.astype(U) << U(32) | low.astype(U) << U(16), times.astype(np.int64))
+        shared = times > 1
+        return [keys[shared], np.ceil(np.log2(times[shared]))], []
 
-    return build(docs.mapInArrow(run, BLOCK), "keys", bits, ["u8", "i8", "u1"], ["u8"], merge)[0]
+    return build(docs.mapInArrow(run, BLOCK), "keys", bits, ["u4", "u2", "u1"], ["u8", "u1"], merge)[0]
 
 
 def _range(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -344,15 +537,17 @@ def _candidates(docs: DataFrame, shape: Shape, keys, bits: int) -> DataFrame:
         for ids, p in _read(batches, shape):
             if not len(p.at):
                 continue
-            k = p.keys()
-            known = store.contains(k.ravel()).reshape(k.shape)
-            which = np.flatnonzero(known.any(axis=1))
+            kind = {}
+            for q, at in p.places():
+                kind[q] = np.zeros(len(p.h), np.uint8)
+                (kind[q][at],) = store.lookup(p.shingles(q)[at], [1])
+            row, k = p.sketch(kind)
+            which = np.unique(row)
             if len(which):
                 units.append((p.unit[which], ids[p.text[which]], ids[p.text[which]]))
-                row, col = np.nonzero(known)
-                pairs.append((k[row, col], p.unit[row]))
+                pairs.append((k, p.unit[row]))
                 n += len(row)
-            if n > 400_000:
+            if n > 1_000_000:
                 yield flush()
                 n = 0
         if n:
@@ -387,7 +582,11 @@ def _gather(candidates: DataFrame, bits: int) -> tuple[Store, DataFrame]:
     done = materialise(candidates.groupBy("kind", "bucket").applyInArrow(run, "group long, unit long, n long, bucket int"), "gathered")
     sizes = {r.bucket: r.unit for r in done.where("bucket is not null").collect() if r.unit}  # one row a bucket
     store = Store(folder, bits, ["u8", "i8", "i8"], sizes).fetch(candidates.sparkSession)
-    return store, _mixed(done.where("bucket is null").select("group", "unit", "n"), candidates.sparkSession.sparkContext.broadcast(store))
+    free_shuffles(candidates.sparkSession)
+    groups = materialise(_mixed(done.where("bucket is null").select("group", "unit", "n"), candidates.sparkSession.sparkContext.broadcast(store)), "groups")
+    drop_scratch(candidates.sparkSession, done)
+    free_shuffles(candidates.sparkSession)
+    return store, groups
 
 
 def _mixed(groups: DataFrame, units) -> DataFrame:
@@ -419,8 +618,8 @@ def _mixed(groups: DataFrame, units) -> DataFrame:
     return met.sortWithinPartitions("group", "unit").mapInArrow(run, "group long, unit long, n long").distinct()
 
 
-def _words(docs: DataFrame, groups: DataFrame, units, shape: Shape, bits: int) -> DataFrame:
-    """unit, words (packed) of the paragraphs of ``groups``, each from its first document."""
+def _words(docs: DataFrame, groups: DataFrame, units, shape: Shape, bits: int) -> Words:
+    """The words of the paragraphs of ``groups``, each from its first document."""
 
     def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -435,75 +634,75 @@ def _words(docs: DataFrame, groups: DataFrame, units, shape: Shape, bits: int) -
             which = np.flatnonzero(shared.value.contains(p.unit))
             (low,) = units.value.lookup(p.unit[which], [1])
             which = which[low == ids[p.text[which]]]  # of equal paragraphs the first document's
-            which = which[np.unique(p.unit[which], return_index=True)[1]]
-            if len(which):
-                yield pa.RecordBatch.from_arrays([pa.array(p.unit[which].view(np.int64)), pa.array([p.packed(i) for i in which], pa.binary())], ["unit", "words"])
+            u, nth = np.unique(p.unit[which], return_index=True)
+            if len(u):
+                yield block_batch(list(to_blocks(u, [u, p.size[which[nth]].astype("u2"), p.packed(which[nth])], bits)))
+
+    def merge(arrays: list[np.ndarray]):
+        u, nth = np.unique(arrays[0], return_index=True)
+        return [u, *(a[nth] for a in arrays[1:])], []
 
-    return docs.mapInArrow(run, "unit long, words binary").groupBy("unit").agg(F.first("words").alias("words"))
+    kinds = ["u8", "u2", f"V{WORD_BYTES * shape.words}"]
+    return Words(build(docs.mapInArrow(run, BLOCK), "words", bits, kinds, kinds, merge)[0], shape)
 
 
-def _edges(a: list[int], b: list[int]) -> pa.RecordBatch:
+def _edges(a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _star_links(groups: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+def _star_links(groups: DataFrame, words, threshold: float) -> DataFrame:
     """Edges a, b between each group's smallest paragraph and its others, where similar."""
     smallest = groups.groupBy("group").agg(F.min("unit").alias("a"), F.count("*").alias("n"))
-    total = groups.count()
-    pairs = materialise(join_counted(groups.select("group", "unit"), smallest, ["group"], "n", total).where("unit <> a").select("a", F.col("unit").alias("b")).distinct(), "pairs")
-    with_b = pairs.join(words.select(F.col("unit").alias("b"), F.col("words").alias("y")), "b")
-    firsts = pairs.groupBy("a").agg(F.count("*").alias("n")).join(words.select(F.col("unit").alias("a"), F.col("words").alias("x")), "a")
+    pairs = join_counted(groups.select("group", "unit"), smallest, ["group"], "n", groups.count()).where("unit <> a").select("a", F.col("unit").alias("b")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            a, b, x, y = (c.to_pylist() for c in part.columns)
-            keep = [i for i, (p, q) in enumerate(zip(word_lists(x), word_lists(y), strict=True)) if similar(p, q, threshold)]
-            yield _edges([a[i] for i in keep], [b[i] for i in keep])
-
-    return join_counted(with_b, firsts, ["a"], "n", total).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def _small_links(groups: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+        for part in slices(batches, COMPARED):
+            a, b = (c.to_numpy() for c in part.columns)
+            keep = similar_rows(*words.value.rows(a), *words.value.rows(b), threshold)
+            yield _edges(a[keep], b[keep])
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], names: int, rows: int = 40_000) -> Iterator[list[np.ndarray]]:
+    """The columns (longs) of sorted batches, about ``rows`` at a time; rows that agree in the first ``names`` columns stay together."""
+    held: list[list[np.ndarray]] = []
+    n = 0
+    for batch in and_end(batches):
+        if batch is not None:
+            held.append([c.to_numpy() for c in batch.columns])
+            n += batch.num_rows
+        if not n or (batch is not None and n < rows):
+            continue
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        cut = n
+        if batch is not None:
+            ends = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:names]], axis=0)) + 1
+            cut = int(ends[-1]) if len(ends) else 0
+        if cut:
+            yield [c[:cut] for c in columns]
+        held, n = [[c[cut:] for c in columns]], n - cut
+    give_back()
+
+
+def _small_links(groups: DataFrame, words) -> DataFrame:
     """Edges a, b that unite what is similar in groups that one task can hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, units, found = None, [], []
-        out: list[tuple[int, int]] = []
-
-        def links() -> list[tuple[int, int]]:
-            if len(units) <= FEW:
-                prefixes = [[0]] * len(units)  # all meet
-            else:
-                each = [numbered(w) for w in found]
-                times = Counter(e for s in each for e in s)
-                prefixes = [sorted(s, key=lambda e: (times[e], e))[: prefix_size(len(s), threshold)] for s in each]
-            return cluster(units, prefixes, lambda i, j: similar(found[i], found[j], threshold))
+        for group, unit in _whole_groups(batches, 1):
+            yield _edges(*unite(group, unit, words.value))
 
-        for part in slices(batches):
-            group_of, unit_of, packed = (c.to_pylist() for c in part.columns)
-            for group, unit, w in zip(group_of, unit_of, word_lists(packed), strict=True):
-                if group != held:
-                    if len(units) > 1:
-                        out += links()
-                    held, units, found = group, [], []
-                units.append(unit)
-                found.append(w)
-            if out:
-                yield _edges([a for a, _ in out], [b for _, b in out])
-                out = []
-        out = links() if len(units) > 1 else []
-        yield _edges([a for a, _ in out], [b for _, b in out])
-
-    met = groups.select("group", "unit").join(words, "unit").select("group", "unit", "words")
-    return met.repartition(parallelism(groups.sparkSession), "group").sortWithinPartitions("group", "unit").mapInArrow(run, "a long, b long")
-
-
-def _group_links(groups: DataFrame, roots: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    met = groups.select("group", "unit").repartition(parallelism(groups.sparkSession), "group")
+    return met.sortWithinPartitions("group", "unit").mapInArrow(run, "a long, b long")
+
+
+def _group_links(groups: DataFrame, roots: DataFrame, words, threshold: float) -> DataFrame:
     """Edges a, b that unite what is similar in large groups that ``roots`` doesn't yet make one component of."""
 
     def elements(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, key of group and element) of each element of the paragraphs, and how many each paragraph has."""
-        each = [numbered(w) for w in word_lists(part.column(3).to_pylist())]
+        size, packed = words.value.packed(part.column(1).to_numpy())
+        each = [numbered(w) for w in word_lists([p.tobytes()[: n * WORD_BYTES] for p, n in zip(packed, size.tolist(), strict=True)])]
         sizes = np.array([len(e) for e in each])
         row = np.repeat(np.arange(len(each)), sizes)
         return row, join_hash(part.column(0).to_numpy().view(U)[row], np.array([x for e in each for x in e], U)), sizes
@@ -533,35 +732,20 @@ def _group_links(groups: DataFrame, roots: DataFrame, words: DataFrame, threshol
             first = np.array([prefix_size(int(n), threshold) for n in sizes])
             keep = (nth < first[row]) & (times > 1)
             whole = part.take(pa.array(row[keep]))
-            yield pa.RecordBatch.from_arrays([whole.column(0), pa.array(key[keep].view(np.int64)), *whole.columns[1:]], ["group", "element", "unit", "root", "words"])
+            yield pa.RecordBatch.from_arrays([whole.column(0), pa.array(key[keep].view(np.int64)), *whole.columns[1:]], ["group", "element", "unit", "root"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, units, at, found = None, [], [], []
-
-        def links() -> pa.RecordBatch:
-            edges = []
-            if len(set(at)) > 1:
-                edges = cluster(units, [[0]] * len(units), lambda i, j: similar(found[i], found[j], threshold), at)
-            return _edges([a for a, _ in edges], [b for _, b in edges])
-
-        for part in slices(batches):
-            for group, element, unit, root, w in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                if (group, element) != held:
-                    yield links()
-                    held, units, at, found = (group, element), [], [], []
-                units.append(unit)
-                at.append(root)
-                found.append(words_of(w))
-        yield links()
+        for group, element, unit, root in _whole_groups(batches, 2):
+            yield _edges(*unite(join_hash(group.view(U), element.view(U)).view(np.int64), unit, words.value, root))
 
     named = groups.join(roots.select(F.col("node").alias("unit"), "root"), "unit", "left").select("group", "unit", F.coalesce("root", "unit").alias("root"))
     open_ = named.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select("group", "n", F.lit(True).alias("open"))
-    members = materialise(join_counted(named, open_, ["group"], "n", groups.count()).select("group", "unit", "root").join(words, "unit").select("group", "unit", "root", "words"), "open")
+    members = materialise(join_counted(named, open_, ["group"], "n", groups.count()).select("group", "unit", "root"), "open")
     bits = buckets_for(members.count() * 30 * 16, BUCKET_BYTES)
     # an element that one paragraph of the group has (missing in the store) links nothing; of the others the rarest come first
     store, _ = build(members.mapInArrow(counted, BLOCK), "elements", bits, ["u8", "i8"], ["u8", "i8"], merge)
     counts = groups.sparkSession.sparkContext.broadcast(store)
-    met = members.mapInArrow(rarest, "group long, element long, unit long, root long, words binary")
+    met = members.mapInArrow(rarest, "group long, element long, unit long, root long")
     return met.repartition(parallelism(groups.sparkSession), "group", "element").sortWithinPartitions("group", "element", "unit").mapInArrow(verify, "a long, b long")
 
 
@@ -573,13 +757,15 @@ def repeated_passages(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n_bytes = docs.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1)).first()[0] or 0
-    bits = buckets_for(n_bytes * 3 // 2, BUCKET_BYTES)
+    bits = buckets_for(n_bytes * 2, BUCKET_BYTES)
     send = spark.sparkContext.broadcast
-    exact, groups = _gather(_candidates(docs, shape, send(shared_keys(docs, shape, bits)), bits), bits)
+    keys = shared_keys(docs, shape, bits)
+    free_shuffles(spark)
+    exact, groups = _gather(_candidates(docs, shape, send(keys), bits), bits)
+    drop_scratch(spark, keys.folder)
     units = send(exact)
-    groups = materialise(groups, "groups")
-    words = materialise(_words(docs, groups, units, shape, bits), "words")
-    edges = _small_links(groups.where(F.col("n") <= GROUP), words, shape.threshold)
+    words = send(_words(docs, groups, units, shape, bits))
+    edges = _small_links(groups.where(F.col("n") <= GROUP), words)
     large = groups.where(F.col("n") > GROUP)
     if not large.isEmpty():
         stars = materialise(_star_links(large, words, shape.threshold), "stars")

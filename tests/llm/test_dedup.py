@@ -3,7 +3,7 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -315,6 +315,49 @@ def test_edited_passages_are_found(spark, table):
     assert not any(found[i].n_repeated or found[i].n_shared for i, _ in clean)
 
 
+def test_no_similar_paragraph_is_left_out(spark, table):
+    """All pairs of paragraphs of different documents compared: whatever the edits, similar ones are found."""
+    rng, rows = random.Random(21), []
+    for n in [*range(5, 30), *[60] * 12]:
+        words = prose(rng, n).split()
+        k = n // 5
+        for edits in range(1, k + 1) if n < 30 else [n // 5, n // 6]:  # spread out, so that few shingles stay
+            other = list(words)
+            for e in range(edits):
+                other[(2 * e + 1) * n // (2 * edits)] = f"changed{len(rows)}x{e}"
+            rows.append((len(rows), " ".join(other)))
+        rows.append((len(rows), " ".join(words)))
+    shape, units = substring_dedup.Shape(), []
+    for i, t in rows:
+        p = substring_dedup.Paragraphs([t.encode()], shape)
+        units += [(i, t.split()[a : a + n]) for a, n in zip(p.at, p.size, strict=True)]
+    want = Counter()
+    for i, a in units:
+        near = ((j, b) for j, b in units if i != j and abs(len(a) - len(b)) <= 6 and len(set(a) & set(b)) > 2)
+        want[i] += any(plain_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9 for _, b in near)
+    found = {r.doc_id: r.n_repeated + r.n_shared for r in substring_dedup.repeated_passages(table(rows)).collect()}
+    assert sum(want.values()) > 100 and not {i: (found[i], n) for i, n in want.items() if found[i] < n}
+
+
+def test_pairs_compared_at_once():
+    rng = random.Random(22)
+    some = lambda n: [rng.randrange(1, 9) for _ in range(n)]
+    pairs = [(some(rng.randrange(1, 31)), some(rng.randrange(1, 31))) for _ in range(400)]
+    pairs += [(a, [*a[:k], 9, *a[k + 2 :]]) for k in range(28) for a in [some(30)]]
+    sides = []
+    for side in (0, 1):
+        rows = np.zeros((len(pairs), 30), np.uint64)
+        for row, pair in zip(rows, pairs, strict=True):
+            row[: len(pair[side])] = pair[side]
+        sides += [rows, np.array([len(pair[side]) for pair in pairs])]
+    for threshold in (0.5, 0.8, 0.9):
+        want = [substring_dedup.similar(a, b, threshold) for a, b in pairs]
+        assert substring_dedup.similar_rows(*sides, threshold).tolist() == want
+        x, nx, y, ny = sides
+        may = substring_dedup.may_be_similar(x.astype(np.uint8), y.astype(np.uint8), nx, ny, substring_dedup.edits(30, threshold))
+        assert not any(w and not m for w, m in zip(want, may, strict=True))
+
+
 def test_band_tuning():
     bands, rows = substring_dedup.tune_bands(0.8, 0.997, 12)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.997 and bands * rows <= 12
