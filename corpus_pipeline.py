@@ -4,6 +4,9 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
 last return the columns of ``documents``. Between stages the rows are written as Parquet to the
 shared folder and read back, which also cuts the lineage.
 
+The near-duplicate stage links documents by SimHash (5-word shingles, 2 bits of 64, the keys of op2), and beside
+it by MinHash bands and exact Jaccard similarity (0.8), as most near copies are more bits apart.
+
 SQL cannot express trained networks, fingerprints or hash permutations, so there is no SQL for the
 whole; its stages are tested one by one, each operator against a plain version.
 
@@ -32,7 +35,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.keep_one(docs, near_dedup.Near(shingle=5, threshold=0.8))
+    return near_dedup.keep_one(docs, near_dedup.Near(shingle=5, threshold=0.8, bits=True))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

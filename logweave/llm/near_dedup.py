@@ -11,6 +11,10 @@ All that share a key are compared exactly, in two steps that link the same compo
 
 Shingle sets leave only from units that share a key.
 
+With ``bits`` a document is linked by its SimHash too: fingerprints of the same shingles, repeats included, that
+differ in at most 2 bits, found by ``simhash.near_links``. Few pairs of similarity 0.8 are that close, so one way
+of linking doesn't replace the other; a class is what both link.
+
 Defined results: words are runs of bytes outside ASCII white space, A-Z lower-cased; a text shorter than a
 shingle is one shingle, one without words (null ones too) an empty set, and empty sets are equal; a null
 doc_id is never kept unless all of its class are null; extra columns stay; an empty table gives no rows.
@@ -27,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import join_counted, materialise, parallelism, slices, utf8
 from .components import components
 from .hashstore import BLOCK, block_batch, buckets_for, build, to_blocks
@@ -42,6 +47,7 @@ class Near:
     threshold: float = 0.8
     bands: int = 20
     rows: int = 5
+    bits: bool = False  # link by SimHash too
 
 
 class Sets:
@@ -90,23 +96,37 @@ class Sets:
         return self.values[self.cuts[i] : self.cuts[i + 1]].tobytes()
 
 
-def _read(batches: Iterator[pa.RecordBatch], near: Near) -> Iterator[tuple[list, Sets]]:
+def print_links(rows: DataFrame) -> DataFrame:
+    """Edges a, b between units whose fingerprints are one component of those within two bits: each with the smallest."""
+    prints = materialise(rows.select("unit", "fp").distinct(), "prints")
+    roots = simhash.components(simhash.near_links(prints.select("fp").distinct()))
+    rooted = materialise(prints.join(roots, prints.fp == roots.node, "left").select("unit", F.coalesce("root", "fp").alias("root")).distinct(), "print-roots")
+    least = rooted.groupBy("root").agg(F.min("unit").alias("a"), F.count("*").alias("n")).where("n > 1")
+    return join_counted(rooted, least, ["root"], "n", rooted.count()).where("unit <> a").select("a", F.col("unit").alias("b"))
+
+
+def _read(batches: Iterator[pa.RecordBatch], near: Near) -> Iterator[tuple[list, Sets, list[bytes]]]:
     for part in slices(batches):
         ids, texts = part.column(0).to_pylist(), utf8(part.column(1))
         for a, b in blocks(texts):
-            yield ids[a:b], Sets(texts[a:b], near)
+            yield ids[a:b], Sets(texts[a:b], near), texts[a:b]
 
 
-def units_of(docs: DataFrame, near: Near) -> DataFrame:
-    """unit, first_id, keys (none for an empty set) of each distinct set."""
+def sets_and_prints(docs: DataFrame, near: Near) -> DataFrame:
+    """doc_id, unit, keys (none for an empty set), fp (with ``near.bits``) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, s in _read(batches, near):
+        for ids, s, texts in _read(batches, near):
+            prints = np.array([simhash.fingerprint(t, near.shingle) for t in texts] if near.bits else [0] * len(texts), U).view(np.int64)
             keys = s.keys(near).view(np.int64).tolist()
             keys = [k if b > a else [] for k, a, b in zip(keys, s.cuts[:-1], s.cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(s.unit.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "unit", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(s.unit.view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(prints)], ["doc_id", "unit", "keys", "fp"])
+
+    return docs.mapInArrow(run, "doc_id long, unit long, keys array<long>, fp long")
+
 
-    rows = docs.mapInArrow(run, "doc_id long, unit long, keys array<long>")
+def units_of(rows: DataFrame) -> DataFrame:
+    """unit, first_id, keys of each distinct set."""
     return rows.groupBy("unit").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"))
 
 
@@ -151,7 +171,7 @@ def sets_of(docs: DataFrame, groups: DataFrame, near: Near) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, s in _read(batches, near):
+        for _, s, _ in _read(batches, near):
             which = np.flatnonzero(shared.value.contains(s.unit))
             which = which[np.unique(s.unit[which], return_index=True)[1]]
             if len(which):
@@ -216,10 +236,12 @@ def _group_links(groups: DataFrame, roots: DataFrame, sets: DataFrame, threshold
 def keep_one(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """The rows of ``docs``, all columns, whose doc_id is the smallest of their near-duplicate class."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    units = materialise(units_of(texts, near), "units")
+    rows = materialise(sets_and_prints(texts, near), "prints") if near.bits else sets_and_prints(texts, near)
+    units = materialise(units_of(rows), "units")
     groups = materialise(key_groups(units), "groups")
     sets = materialise(sets_of(texts, groups, near), "sets")
-    stars = materialise(_star_links(groups, sets, near.threshold), "stars")
+    stars = _star_links(groups, sets, near.threshold)
+    stars = materialise(stars.unionByName(print_links(rows)) if near.bits else stars, "stars")
     roots = materialise(components(stars), "roots")
     roots = components(stars.unionByName(_group_links(groups, roots, sets, near.threshold)))
     rooted = units.join(roots, units.unit == roots.node, "left").select("first_id", F.coalesce("root", "unit").alias("root"))  # combined where it lies

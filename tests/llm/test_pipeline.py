@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from logweave.llm import queries
+from logweave.llm import queries, simhash
 
 from .conftest import prose
 
@@ -79,3 +79,15 @@ def test_near_copies_go(spark, tmp_path):
         docs.append((100 + i, " ".join(words), "en", "s", 1))
     out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), str(tmp_path))
     assert sorted(r.doc_id for r in out.collect()) == list(range(20))
+
+
+def test_simhash_links_go(spark, tmp_path):
+    """Documents within two bits of each other's SimHash are one class, also where their sets of shingles differ much."""
+    rng = random.Random(13)
+    phrase = prose(rng, 7)
+    texts = [f"{' '.join([phrase] * 40)} {prose(rng, 20)}" for _ in range(3)] + [prose(rng, 90) for _ in range(5)]
+    prints = [simhash.fingerprint(t.encode(), 5) for t in texts]
+    assert all((prints[0] ^ p).bit_count() <= 2 for p in prints[:3]) and all((prints[0] ^ p).bit_count() > 2 for p in prints[3:])
+    docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), str(tmp_path))
+    assert sorted(r.doc_id for r in out.collect()) == [0, 3, 4, 5, 6, 7]
