@@ -17,14 +17,16 @@ of the 28 (a bottom-k sketch) of one paragraph and those of the other have one i
 1. The shingles that two or more rows have are gathered (packed arrays, a row for each task and bucket) into
    a sorted array, with how frequent they are. The order of the sketches is by that, then by hash: rare
    shingles first. A paragraph with fewer than 10 such shingles has no similar one in another document.
-2. The other paragraphs leave (hash, smallest and largest document) and (key, hash) pairs, a key for each
-   such shingle of the sketch. Equal paragraphs need no more. Keys that unite different paragraphs are the
-   candidate groups; where all of a key's paragraphs have the same first and last document, copies of one
-   text, nothing is to be united.
+2. The other paragraphs leave (hash, smallest and largest document) and (key and place, hash) pairs, one for
+   each such shingle of the sketch. Equal paragraphs need no more. A word that stays moves by half the edits
+   at most (``Shape.reach``), so those with a key at far places, such as paragraphs of one text that overlap,
+   need no comparison by it: a key's paragraphs in order of place are cut where the next is farther away. What
+   is left of different paragraphs are the candidate groups.
 3. Only for those the words are fetched, into a sorted array where the groups' tasks look them up. All pairs
-   of a group are compared (``unite``), a bit mask of their words first. A group of more than ``GROUP`` is no
-   task's work as a whole: there each paragraph is first compared with the smallest of the group, dealt by
-   pair, and where that leaves more than one component, the rarest words are keys of their own.
+   of a group that are within reach are compared (``unite``), a bit mask of their words first. A group of more
+   than ``GROUP`` is cut into windows of places that overlap. One that is still larger is no task's work as a
+   whole: there each paragraph is first compared with the smallest of the group, dealt by pair, and where that
+   leaves more than one component, the rarest words are keys of their own.
 4. Linked paragraphs form components. Of each component the smallest doc_id keeps its paragraphs; the
    other documents lose theirs. The verdicts are a sorted array too: each document looks its own
    paragraphs up where it lies, so no passage is ever a join key.
@@ -55,6 +57,8 @@ NULL_ID = (1 << 63) - 1
 BUCKET_BYTES = 12 << 20
 #: Paragraphs of a group that one task compares.
 GROUP = 2000
+#: Up to so many paragraphs a group is the same for the same paragraphs, wherever they have the key.
+FEW = 32
 #: Of a word's hash as many bytes are compared: two different ones of a pair agree with a chance of 1 in 10**12.
 WORD_BYTES = 5
 
@@ -108,6 +112,15 @@ class Shape:
             out[q] = min(out.get(q, m), max(1, m - q + 1 - k * q))
         return out
 
+    @property
+    def reach(self) -> int:
+        """How far apart the places of a shingle that two similar paragraphs share are at most.
+
+        A place is the number of words before less that of words from there on. The edits before a word that stays change
+        the one number by as many at most, those behind it the other.
+        """
+        return edits(self.words, self.threshold)
+
 
 class Paragraphs:
     """The paragraphs of a block of texts: ``at`` first words, ``size`` numbers of words, ``text`` their texts, ``unit`` hashes
@@ -182,22 +195,24 @@ class Paragraphs:
         return np.where(out == 0, out.max(axis=1, keepdims=True, initial=0), out)
 
     def sketch(self, kind: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(paragraph, key) of the MinHash sketches: of the shingles, in one order for all paragraphs, the smallest ones.
+        """(paragraph, key and place) of the MinHash sketches: of the shingles, in one order for all paragraphs, the smallest ones.
 
         ``kind``: for each place how frequent its shingle is, 0 if one document has it; rarer ones are smaller. Of N
-        shingles, ``shared`` in common, two paragraphs share one of the N - shared + 1 smallest. One with fewer than
-        ``shared`` that other documents have is similar to none there.
+        shingles, ``shared`` in common, two paragraphs share one of the N - shared + 1 smallest, those equal to the last of
+        them included. One with fewer than ``shared`` that other documents have is similar to none there. The low 16 bits
+        tell the place, from 0 on (``Shape.reach``).
         """
         rows, keys = [np.zeros(0, int)], [np.zeros(0, U)]
         for which, n, q, shared in self.by_size():
-            at = self.at[which, None] + np.arange(n - q + 1)
-            often = kind[q][at]
+            nth = np.arange(n - q + 1)
+            often = kind[q][self.at[which, None] + nth]
             some = np.flatnonzero((often > 0).sum(axis=1) >= shared)
-            often, values = often[some], self.shingles(q)[at[some]]
-            order = np.argsort((often.astype(U) << U(48)) | values >> U(16), axis=1)[:, : n - q + 2 - shared]
-            row, col = np.nonzero(np.take_along_axis(often, order, axis=1))
+            often, values = often[some], self.shingles(q)[self.at[which[some], None] + nth]
+            order = often.astype(U) << U(48) | values >> U(16)
+            last = n - q + 1 - shared
+            row, col = np.nonzero((order <= np.partition(order, last, axis=1)[:, last : last + 1]) & (often > 0))
             rows.append(which[some][row])
-            keys.append(np.take_along_axis(values, order, axis=1)[row, col])
+            keys.append(values[row, col] | (2 * col - n + self.shape.words).astype(U))
         return np.concatenate(rows), np.concatenate(keys)
 
     def packed(self, which: np.ndarray) -> np.ndarray:
@@ -385,11 +400,11 @@ def distinct(x: np.ndarray) -> np.ndarray:
 AT_ONCE, COMPARED = 300_000, 10_000
 
 
-def unite(group: np.ndarray, unit: np.ndarray, words: Words, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links whose components are those of all similar pairs within the groups (rows in order of ``group``).
+def unite(group: np.ndarray, unit: np.ndarray, words: Words, root: np.ndarray | None = None, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links whose components are those of all similar pairs within the groups (rows in order of ``group``, then of ``place``).
 
     A bit for each of a paragraph's words rules most pairs out: one has no more bits that the other lacks than edits.
-    Members with the same of ``root`` are linked already.
+    Members with the same of ``root`` are linked already; those farther apart than ``Shape.reach`` aren't compared.
     """
     kinds, at = np.unique(unit, return_inverse=True)
     x, size = words.rows(kinds)
@@ -398,8 +413,9 @@ def unite(group: np.ndarray, unit: np.ndarray, words: Words, root: np.ndarray |
     most = edits(words.shape.words, words.shape.threshold)
     inside = np.arange(x.shape[1]) < size[:, None]
     mask = [np.bitwise_or.reduce(np.where(inside, U(1) << (x >> U(s) & U(63)), U(0)), axis=1)[at] for s in (0, 6)]
-    first = np.flatnonzero(np.diff(group, prepend=~group[:1]))
-    before = np.arange(len(group)) - np.repeat(first, np.diff(first, append=len(group)))  # members that come before
+    nth = np.cumsum(np.diff(group, prepend=group[:1]) != 0) << 17
+    near = np.searchsorted(nth, nth) if place is None else np.searchsorted(nth + place, nth + np.maximum(place - words.shape.reach, 0))
+    before = np.arange(len(group)) - near  # members that come before
     total = np.cumsum(before)
     label = np.arange(len(kinds))
     a, b = [np.zeros(0, int)], [np.zeros(0, int)]  # links
@@ -415,6 +431,7 @@ def unite(group: np.ndarray, unit: np.ndarray, words: Words, root: np.ndarray |
             a.append(p[good])
             b.append(q[good])
         node, least = forest(np.concatenate(a), np.concatenate(b))
+        a[:], b[:] = [node], [least]
         label = np.arange(len(kinds))
         label[node] = least
 
@@ -422,6 +439,8 @@ def unite(group: np.ndarray, unit: np.ndarray, words: Words, root: np.ndarray |
         pairs = distinct(np.concatenate(wait))
         wait.clear()
         i, j = pairs // len(kinds), pairs % len(kinds)
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
         near = [may_be_similar(low[p], low[q], size[p], size[q], most) for c in range(0, len(i), COMPARED) for p, q in [(i[c : c + COMPARED], j[c : c + COMPARED])]]
         near = np.concatenate([np.zeros(0, bool), *near])
         i, j = i[near], j[near]
@@ -445,6 +464,8 @@ def unite(group: np.ndarray, unit: np.ndarray, words: Words, root: np.ndarray |
             keep = root[left] != root[right]
             left, right = left[keep], right[keep]
         i, j = at[left], at[right]
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
         wait.append(distinct(np.maximum(i, j) * len(kinds) + np.minimum(i, j)))
         if sum(map(len, wait)) > AT_ONCE:
             verify()
@@ -525,10 +546,7 @@ def _candidates(docs: DataFrame, shape: Shape, keys, bits: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             u, low, high = _range(*map(np.concatenate, zip(*units, strict=True)))
             k, unit = map(np.concatenate, zip(*pairs, strict=True))
-            order = np.lexsort((unit, k))
-            k, unit = k[order], unit[order]
-            new = np.concatenate([[True], (k[1:] != k[:-1]) | (unit[1:] != unit[:-1])])
-            k, unit = k[new], unit[new]
+            k, unit = _sorted_rows(k, unit)
             rows = [(0, *x) for x in to_blocks(u, [u, low, high], bits)] + [(1, *x) for x in to_blocks(k, [k, unit], bits)]
             units.clear()
             pairs.clear()
@@ -556,68 +574,78 @@ def _candidates(docs: DataFrame, shape: Shape, keys, bits: int) -> DataFrame:
     return docs.mapInArrow(run, f"kind int, {BLOCK}")
 
 
-def _gather(candidates: DataFrame, bits: int) -> tuple[Store, DataFrame]:
-    """The store of candidate paragraphs (hash, smallest, largest document), and group, unit, n (as longs): the sets of
-    different paragraphs that share a key, each set once however many bands find it. Both kinds of blocks meet in one exchange.
+def _sorted_rows(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct rows in order of the columns, the first one first."""
+    order = np.lexsort(columns[::-1])
+    columns = tuple(c[order] for c in columns)
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return tuple(c[new] for c in columns)
+
+
+def candidate_groups(k: np.ndarray, unit: np.ndarray, reach: int, most: int) -> tuple[np.ndarray, ...]:
+    """group, unit, place, n of (key and place, paragraph) pairs: for each key sets of different paragraphs, the number of a
+    set's rows, such that all pairs that have the key within ``reach`` are in a set, and their places there as near.
+
+    A set has the same name, whichever key makes it. Those of more than ``most`` rows are cut into windows. Places are left
+    out (0) of sets of few paragraphs and of those that have the key in many places each.
+    """
+    k, unit = _sorted_rows(k, unit)
+    first = np.ones(len(k), bool)
+    first[1:] = k[1:] - k[:-1] > U(reach)  # of another key, or far away: keys are 2**16 apart
+    chain = np.cumsum(first)
+    place = (k - k[first][chain - 1]).astype(np.int64)
+    rows = np.bincount(chain)
+    units = np.bincount(_sorted_rows(chain, unit)[0], minlength=len(rows))
+    placed = ((units > FEW) & (2 * rows <= 3 * units))[chain]
+    large = placed & (rows > most)[chain]
+    width = reach + 2
+    window = np.where(large, place // width, 0)  # two within reach are in the window of the first
+    again = np.flatnonzero(large & (window > 0) & (place % width < reach))
+    chain, window, place, unit, placed = (np.concatenate([x, x[again]]) for x in (chain, window, place, unit, placed))
+    window[len(window) - len(again) :] -= 1
+    chain, place = chain << 17 | window, place - window * width
+    _, which, rows = np.unique(chain, return_inverse=True, return_counts=True)
+    place[~placed | (rows[which] <= FEW)] = 0
+    chain, unit, place = _sorted_rows(chain, unit, place)
+    first = np.flatnonzero(np.diff(chain, prepend=-1))
+    size = np.diff(first, append=len(chain))
+    names = mix(np.add.reduceat(mix(join_hash(unit, place.astype(U))), first)) if len(first) else np.zeros(0, U)
+    kinds = np.flatnonzero((np.minimum.reduceat(unit, first) != np.maximum.reduceat(unit, first)) if len(first) else [])
+    kinds = kinds[np.unique(names[kinds], return_index=True)[1]]
+    keep = np.repeat(np.isin(np.arange(len(first)), kinds), size)
+    return np.repeat(names, size)[keep].view(np.int64), unit[keep].view(np.int64), place[keep], np.repeat(size, size)[keep]
+
+
+def _gather(candidates: DataFrame, shape: Shape, bits: int) -> tuple[Store, DataFrame]:
+    """The store of candidate paragraphs (hash, smallest, largest document), and group, unit, place, n: the sets of different
+    paragraphs that share a key, each set once however many bands find it. Both kinds of blocks meet in one exchange.
     """
     folder = scratch(candidates.sparkSession, "units")
+    most = GROUP
 
     def run(key, table):
         bucket = key[1].as_py()
         if key[0].as_py() == 0:
             arrays = _range(*(np.concatenate(c) for c in zip(*(unpack(p.as_py(), ["u8", "i8", "i8"]) for p in table.column("payload")), strict=True)))
             write_array(folder, str(bucket), list(arrays))
-            return pa.table({"group": pa.array([None], pa.int64()), "unit": pa.array([len(arrays[0])], pa.int64()), "n": pa.array([0], pa.int64()), "bucket": pa.array([bucket], pa.int32())})
+            return pa.table({"group": pa.array([None], pa.int64()), "unit": pa.array([len(arrays[0])], pa.int64()), "place": pa.array([0], pa.int32()), "n": pa.array([0], pa.int64()), "bucket": pa.array([bucket], pa.int32())})
         k, unit = (np.concatenate(c) for c in zip(*(unpack(p.as_py(), ["u8", "u8"]) for p in table.column("payload")), strict=True))
-        order = np.lexsort((unit, k))
-        k, unit = k[order], unit[order]
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (unit[1:] != unit[:-1])])
-        k, unit = k[new], unit[new]
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        size = np.diff(first, append=len(k))
-        group = np.repeat(mix(np.add.reduceat(mix(unit), first)), size)  # the same for the same set
-        keep = np.repeat(size > 1, size)
-        return pa.table({"group": pa.array(group[keep].view(np.int64)), "unit": pa.array(unit[keep].view(np.int64)), "n": pa.array(np.repeat(size, size)[keep]), "bucket": pa.array([None] * int(keep.sum()), pa.int32())})
-
-    done = materialise(candidates.groupBy("kind", "bucket").applyInArrow(run, "group long, unit long, n long, bucket int"), "gathered")
+        del table
+        group, unit, place, n = candidate_groups(k, unit, shape.reach, most)
+        return pa.table({"group": pa.array(group), "unit": pa.array(unit), "place": pa.array(place, pa.int32()), "n": pa.array(n), "bucket": pa.nulls(len(n), pa.int32())})
+
+    done = materialise(candidates.groupBy("kind", "bucket").applyInArrow(run, "group long, unit long, place int, n long, bucket int"), "gathered")
     sizes = {r.bucket: r.unit for r in done.where("bucket is not null").collect() if r.unit}  # one row a bucket
     store = Store(folder, bits, ["u8", "i8", "i8"], sizes).fetch(candidates.sparkSession)
     free_shuffles(candidates.sparkSession)
-    groups = materialise(_mixed(done.where("bucket is null").select("group", "unit", "n"), candidates.sparkSession.sparkContext.broadcast(store)), "groups")
+    groups = materialise(done.where("bucket is null").select("group", "unit", "place", "n").distinct(), "groups")
     drop_scratch(candidates.sparkSession, done)
     free_shuffles(candidates.sparkSession)
     return store, groups
 
 
-def _mixed(groups: DataFrame, units) -> DataFrame:
-    """Each group once, without those of up to ``GROUP`` paragraphs that all have the same first and last document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, unit, n = (np.zeros(0, np.int64) for _ in range(3))
-        for batch in and_end(batches):
-            if batch is not None:
-                group, unit, n = (np.concatenate([x, c.to_numpy()]) for x, c in zip((group, unit, n), batch.columns, strict=True))
-            if not len(group):
-                continue
-            cut = len(group) if batch is None or n[-1] > GROUP else int(np.searchsorted(group, group[-1]))
-            g, u, k = group[:cut], unit[:cut], n[:cut]
-            new = np.ones(len(g), bool)
-            new[1:] = (g[1:] != g[:-1]) | (u[1:] != u[:-1])
-            g, u, k = g[new], u[new], k[new]
-            if len(g):
-                first = np.flatnonzero(np.diff(g, prepend=~g[0]))
-                size = np.diff(first, append=len(g))
-                mixed = np.zeros(len(first), bool)
-                for docs in units.value.lookup(u.view(U), [1, 2]):
-                    mixed |= np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first)
-                keep = np.repeat(mixed, size) | (k > GROUP)
-                yield pa.RecordBatch.from_arrays([pa.array(g[keep]), pa.array(u[keep]), pa.array(k[keep])], ["group", "unit", "n"])
-            group, unit, n = group[cut:], unit[cut:], n[cut:]
-
-    met = groups.repartition(parallelism(groups.sparkSession), "group", F.when(F.col("n") > GROUP, F.col("unit")))
-    return met.sortWithinPartitions("group", "unit").mapInArrow(run, "group long, unit long, n long").distinct()
-
-
 def _words(docs: DataFrame, groups: DataFrame, units, shape: Shape, bits: int) -> Words:
     """The words of the paragraphs of ``groups``, each from its first document."""
 
@@ -689,11 +717,11 @@ def _small_links(groups: DataFrame, words) -> DataFrame:
     """Edges a, b that unite what is similar in groups that one task can hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, unit in _whole_groups(batches, 1):
-            yield _edges(*unite(group, unit, words.value))
+        for group, place, unit in _whole_groups(batches, 1):
+            yield _edges(*unite(group, unit, words.value, place=place))
 
-    met = groups.select("group", "unit").repartition(parallelism(groups.sparkSession), "group")
-    return met.sortWithinPartitions("group", "unit").mapInArrow(run, "a long, b long")
+    met = groups.select("group", F.col("place").cast("long"), "unit").repartition(parallelism(groups.sparkSession), "group")
+    return met.sortWithinPartitions("group", "place", "unit").mapInArrow(run, "a long, b long")
 
 
 def _group_links(groups: DataFrame, roots: DataFrame, words, threshold: float) -> DataFrame:
@@ -761,12 +789,12 @@ def repeated_passages(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     send = spark.sparkContext.broadcast
     keys = shared_keys(docs, shape, bits)
     free_shuffles(spark)
-    exact, groups = _gather(_candidates(docs, shape, send(keys), bits), bits)
+    exact, groups = _gather(_candidates(docs, shape, send(keys), bits), shape, bits)
     drop_scratch(spark, keys.folder)
     units = send(exact)
     words = send(_words(docs, groups, units, shape, bits))
     edges = _small_links(groups.where(F.col("n") <= GROUP), words)
-    large = groups.where(F.col("n") > GROUP)
+    large = groups.where(F.col("n") > GROUP).select("group", "unit").distinct()
     if not large.isEmpty():
         stars = materialise(_star_links(large, words, shape.threshold), "stars")
         found = materialise(components(stars), "roots")

@@ -339,6 +339,34 @@ def test_no_similar_paragraph_is_left_out(spark, table):
     assert sum(want.values()) > 100 and not {i: (found[i], n) for i, n in want.items() if found[i] < n}
 
 
+def test_links_between_paragraphs_of_one_document(spark, table):
+    """b is linked to the smaller document by a alone, which stands in b's document and shares no shingle of c's with it."""
+    rng = random.Random(23)
+    a = prose(rng, 25).split()
+    change = lambda places: " ".join(f"changed{i}" if i in places else w for i, w in enumerate(a))
+    rows = [(1, change([2, 5, 8, 11])), (5, " ".join(a)), (5, change([13, 16, 19, 22])), (7, prose(rng, 25))]
+    found = substring_dedup.repeated_passages(table(rows)).collect()
+    assert sorted((r.doc_id, r.n_repeated, r.n_shared) for r in found) == [(1, 0, 1), (5, 1, 0), (5, 1, 0), (7, 0, 0)]
+
+
+@pytest.mark.parametrize("most", [3, 40, 2000])
+def test_candidate_groups_hold_pairs_within_reach(most):
+    rng = random.Random(24)
+    for spread, times in ((50, 1), (12, 1), (50, 6)):
+        rows = {(key, 2 * rng.randrange(spread), unit) for key in (1, 2) for unit in range(120) for _ in range(times)}
+        rows |= {(key, 2 * place, unit) for key in (3, 4) for place, unit in ((3, 1000), (20, 1001), (21, 1002), (24, 1003))}
+        rows = sorted(rows)
+        got = substring_dedup.candidate_groups(np.array([k << 16 | p for k, p, _ in rows], np.uint64), np.array([u for *_, u in rows], np.uint64), 6, most)
+        sets = defaultdict(list)
+        for group, unit, place, n in zip(*map(np.ndarray.tolist, got), strict=True):
+            sets[group].append((unit, place, n))
+        pairs = lambda held: {(a[0], b[0]) for a in held for b in held if a[0] < b[0] and abs(a[1] - b[1]) <= 6}
+        want = set().union(*(pairs([(u, p) for k, p, u in rows if k == key]) for key in (1, 2, 3, 4)))
+        assert want <= set().union(*map(pairs, sets.values())) and all(n == len(held) for held in sets.values() for *_, n in held)
+        assert not any(1000 in (unit for unit, *_ in held) for held in sets.values())  # far from the others
+        assert sum({unit for unit, *_ in held} >= {1001, 1002} for held in sets.values()) == 1  # both keys make one
+
+
 def test_pairs_compared_at_once():
     rng = random.Random(22)
     some = lambda n: [rng.randrange(1, 9) for _ in range(n)]
