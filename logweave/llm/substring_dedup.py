@@ -22,11 +22,12 @@ of the 28 (a bottom-k sketch) of one paragraph and those of the other have one i
    at most (``Shape.reach``), so those with a key at far places, such as paragraphs of one text that overlap,
    need no comparison by it: a key's paragraphs in order of place are cut where the next is farther away. What
    is left of different paragraphs are the candidate groups.
-3. Only for those the words are fetched, into a sorted array where the groups' tasks look them up. All pairs
-   of a group that are within reach are compared (``unite``), a bit mask of their words first. A group of more
-   than ``GROUP`` is cut into windows of places that overlap. One that is still larger is no task's work as a
-   whole: there each paragraph is first compared with the smallest of the group, dealt by pair, and where that
-   leaves more than one component, the rarest words are keys of their own.
+   Those of more than ``FEW`` are cut into windows of places that overlap, but for keys that a paragraph repeats.
+3. Only for those the words are fetched, into a sorted array where the groups' tasks look them up (``unite``).
+   All pairs of a small group are compared, a bit mask of their words first. In a larger one each paragraph is
+   first compared with one of the group, and where that leaves more than one component, the rarest words are
+   keys of their own. A group of more than ``GROUP`` is no task's work as a whole: there the same is done by
+   pairs and keys dealt to tasks.
 4. Linked paragraphs form components. Of each component the smallest doc_id keeps its paragraphs; the
    other documents lose theirs. The verdicts are a sorted array too: each document looks its own
    paragraphs up where it lies, so no passage is ever a join key.
@@ -56,9 +57,11 @@ from .words import U, blocks, join_hash, mix, shingle_hashes, word_hashes
 NULL_ID = (1 << 63) - 1
 BUCKET_BYTES = 12 << 20
 #: Paragraphs of a group that one task compares.
-GROUP = 2000
-#: Up to so many paragraphs a group is the same for the same paragraphs, wherever they have the key.
+GROUP = 10_000
+#: Paragraphs of a group whose pairs are all compared.
 FEW = 32
+#: The place of a key that a paragraph has in ``OFTEN`` places or more.
+ANYWHERE, OFTEN = 0xFFFF, 4
 #: Of a word's hash as many bytes are compared: two different ones of a pair agree with a chance of 1 in 10**12.
 WORD_BYTES = 5
 
@@ -200,7 +203,7 @@ class Paragraphs:
         ``kind``: for each place how frequent its shingle is, 0 if one document has it; rarer ones are smaller. Of N
         shingles, ``shared`` in common, two paragraphs share one of the N - shared + 1 smallest, those equal to the last of
         them included. One with fewer than ``shared`` that other documents have is similar to none there. The low 16 bits
-        tell the place, from 0 on (``Shape.reach``).
+        tell the place, from 0 on (``Shape.reach``), or ``ANYWHERE``.
         """
         rows, keys = [np.zeros(0, int)], [np.zeros(0, U)]
         for which, n, q, shared in self.by_size():
@@ -209,10 +212,13 @@ class Paragraphs:
             some = np.flatnonzero((often > 0).sum(axis=1) >= shared)
             often, values = often[some], self.shingles(q)[self.at[which[some], None] + nth]
             order = often.astype(U) << U(48) | values >> U(16)
-            last = n - q + 1 - shared
-            row, col = np.nonzero((order <= np.partition(order, last, axis=1)[:, last : last + 1]) & (often > 0))
+            place = np.repeat((2 * nth - n + self.shape.words).astype(U)[None], len(some), axis=0)
+            ranks = np.sort(order, axis=1)
+            again = np.flatnonzero(np.count_nonzero(ranks[:, 1:] == ranks[:, :-1], axis=1) >= OFTEN - 1)
+            place[again] = np.where(sum((order[again] == order[again, i : i + 1]).astype(np.uint8) for i in range(n - q + 1)) >= OFTEN, U(ANYWHERE), place[again])
+            row, col = np.nonzero((order <= ranks[:, n - q + 1 - shared, None]) & (often > 0))
             rows.append(which[some][row])
-            keys.append(values[row, col] | (2 * col - n + self.shape.words).astype(U))
+            keys.append(values[row, col] | place[row, col])
         return np.concatenate(rows), np.concatenate(keys)
 
     def packed(self, which: np.ndarray) -> np.ndarray:
@@ -289,6 +295,14 @@ def numbered(words: list[int]) -> list[int]:
     return out
 
 
+def numbered_rows(x: np.ndarray) -> np.ndarray:
+    """``numbered`` of each row."""
+    k = np.ones(x.shape, U)
+    for j in range(1, x.shape[1]):
+        k[:, j] += np.count_nonzero(x[:, :j] == x[:, j : j + 1], axis=1).astype(U)
+    return (x * U(0x9E3779B97F4A7C15) + k * U(0xD6E8FEB86659FD93) & U((1 << 63) - 1)) ^ k
+
+
 def prefix_size(n: int, threshold: float) -> int:
     """Two sets that share threshold * n of their n elements share one of so many first ones in any common order."""
     return n - math.ceil(threshold * n - 1e-9) + 1
@@ -400,11 +414,12 @@ def distinct(x: np.ndarray) -> np.ndarray:
 AT_ONCE, COMPARED = 300_000, 10_000
 
 
-def unite(group: np.ndarray, unit: np.ndarray, words: Words, root: np.ndarray | None = None, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links whose components are those of all similar pairs within the groups (rows in order of ``group``, then of ``place``).
+def unite(group: np.ndarray, unit: np.ndarray, words: Words, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links whose components are those of all similar pairs within the groups (rows in order of ``group``).
 
     A bit for each of a paragraph's words rules most pairs out: one has no more bits that the other lacks than edits.
-    Members with the same of ``root`` are linked already; those farther apart than ``Shape.reach`` aren't compared.
+    Of groups of more than ``FEW`` each member is compared with the first, then those that share one of their rarest
+    words, as many as leave out no similar pair. Members with the same of ``root`` are linked already.
     """
     kinds, at = np.unique(unit, return_inverse=True)
     x, size = words.rows(kinds)
@@ -412,12 +427,14 @@ def unite(group: np.ndarray, unit: np.ndarray, words: Words, root: np.ndarray |
     allowed = np.array([edits(n, words.shape.threshold) for n in range(words.shape.words + 1)])
     most = edits(words.shape.words, words.shape.threshold)
     inside = np.arange(x.shape[1]) < size[:, None]
-    mask = [np.bitwise_or.reduce(np.where(inside, U(1) << (x >> U(s) & U(63)), U(0)), axis=1)[at] for s in (0, 6)]
-    nth = np.cumsum(np.diff(group, prepend=group[:1]) != 0) << 17
-    near = np.searchsorted(nth, nth) if place is None else np.searchsorted(nth + place, nth + np.maximum(place - words.shape.reach, 0))
-    before = np.arange(len(group)) - near  # members that come before
-    total = np.cumsum(before)
+    mask = [np.bitwise_or.reduce(np.where(inside, U(1) << (x >> U(s) & U(63)), U(0)), axis=1) for s in (0, 6)]
     label = np.arange(len(kinds))
+    if root is not None:  # links without a comparison
+        order = np.argsort(root, kind="stable")
+        same = np.flatnonzero(root[order][1:] == root[order][:-1])
+        node, least = forest(at[order[same + 1]], at[order[same]])
+        label[node] = least
+    known = np.flatnonzero(label != np.arange(len(kinds))), label[label != np.arange(len(kinds))]
     a, b = [np.zeros(0, int)], [np.zeros(0, int)]  # links
     wait: list[np.ndarray] = []
 
@@ -430,8 +447,8 @@ def unite(group: np.ndarray, unit: np.ndarray, words: Words, root: np.ndarray |
             good[rest] = similar_rows(x[p[rest]], size[p[rest]], x[q[rest]], size[q[rest]], words.shape.threshold)
             a.append(p[good])
             b.append(q[good])
-        node, least = forest(np.concatenate(a), np.concatenate(b))
-        a[:], b[:] = [node], [least]
+        a[:], b[:] = zip(forest(np.concatenate(a), np.concatenate(b)))
+        node, least = forest(np.concatenate([*a, known[0]]), np.concatenate([*b, known[1]]))
         label = np.arange(len(kinds))
         label[node] = least
 
@@ -450,28 +467,60 @@ def unite(group: np.ndarray, unit: np.ndarray, words: Words, root: np.ndarray |
             some = np.arange(len(i)) if whole else np.unique(i, return_index=True)[1]
             compare(i[some], j[some])
 
-    lo = 0
-    while lo < len(group):
-        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + AT_ONCE)))
-        n = before[lo:hi]
-        left = np.repeat(np.arange(lo, hi), n)
-        right = left - 1 - (np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n))
-        for m in mask:
-            y, z = m[left], m[right]
-            keep = (np.bitwise_count(y & ~z) <= most) & (np.bitwise_count(z & ~y) <= most)
-            left, right = left[keep], right[keep]
-        if root is not None:
-            keep = root[left] != root[right]
-            left, right = left[keep], right[keep]
-        i, j = at[left], at[right]
-        apart = label[i] != label[j]
-        i, j = i[apart], j[apart]
-        wait.append(distinct(np.maximum(i, j) * len(kinds) + np.minimum(i, j)))
-        if sum(map(len, wait)) > AT_ONCE:
+    def all_pairs(group: np.ndarray, at: np.ndarray) -> None:
+        before = np.arange(len(group)) - np.searchsorted(group, group)  # members that come before
+        total = np.cumsum(before)
+        lo = 0
+        while lo < len(group):
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + AT_ONCE)))
+            n = before[lo:hi]
+            left = np.repeat(np.arange(lo, hi), n)
+            i, j = at[left], at[left - 1 - (np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n))]
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+            for m in mask:
+                y, z = m[i], m[j]
+                keep = (np.bitwise_count(y & ~z) <= most) & (np.bitwise_count(z & ~y) <= most)
+                i, j = i[keep], j[keep]
+            wait.append(distinct(np.maximum(i, j) * len(kinds) + np.minimum(i, j)))
+            if sum(map(len, wait)) > AT_ONCE:
+                verify()
+            lo = hi
+        if wait:
             verify()
-        lo = hi
-    if wait:
-        verify()
+
+    def starred(group: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Compare each member with the first; what is left in more than one component."""
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        size_of = np.diff(first, append=len(group))
+        one = np.repeat(at[first], size_of) if len(first) else at
+        apart = label[one] != label[at]
+        pairs = distinct(np.maximum(one, at)[apart] * len(kinds) + np.minimum(one, at)[apart])
+        compare(pairs // len(kinds), pairs % len(kinds))
+        if not len(first):
+            return group, at
+        still = np.repeat(np.minimum.reduceat(label[at], first) != np.maximum.reduceat(label[at], first), size_of)
+        return group[still], at[still]
+
+    def by_rarest(group: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Groups of those that share one of the rarest words of their groups."""
+        keys = join_hash(np.repeat(group.astype(U), x.shape[1]), numbered_rows(x[at]).ravel())
+        _, which, times = np.unique(keys, return_inverse=True, return_counts=True)
+        which = which.reshape(len(at), x.shape[1])
+        often = np.where(np.arange(x.shape[1]) < size[at][:, None], times[which], len(keys) + 1)  # the same order in all of a group
+        order = np.argsort(often * (len(times) + 1) + which, axis=1)
+        prefix = np.array([prefix_size(n, words.shape.threshold) if n else 0 for n in range(x.shape[1] + 1)])
+        row, col = np.nonzero(np.arange(x.shape[1]) < prefix[size[at]][:, None])
+        element = which[row, order[row, col]]
+        row, element = row[times[element] > 1], element[times[element] > 1]
+        order = np.argsort(element, kind="stable")
+        return element[order], at[row[order]]
+
+    ids = np.cumsum(np.diff(group, prepend=group[:1]) != 0)
+    large = (np.bincount(ids, minlength=1)[ids] if len(ids) else ids) > FEW
+    all_pairs(ids[~large], at[~large])
+    if large.any():
+        all_pairs(*starred(*by_rarest(*starred(ids[large], at[large]))))
     node, least = forest(np.concatenate(a), np.concatenate(b))
     return kinds[node], kinds[least]
 
@@ -489,17 +538,12 @@ def shared_keys(docs: DataFrame, shape: Shape, bits: int) -> Store:
     """Shingles of paragraphs that two or more rows have, and how frequent each is (a power of two; step 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []  # keys, in the low 16 bits the row
         n = rows = 0
 
         def flush() -> pa.RecordBatch:
-            keys, row = map(np.concatenate, zip(*held, strict=True))
+            keys = distinct(np.concatenate(held)) & ~U(0xFFFF)  # a row counts once
             held.clear()
-            order = np.argsort(keys, kind="stable")
-            keys, row = keys[order], row[order]
-            new = np.ones(len(keys), bool)
-            new[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])  # a row counts once
-            keys = keys[new]
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             times = np.minimum(np.diff(first, append=len(keys)), 255)
             keys = keys[first]
@@ -508,18 +552,23 @@ def shared_keys(docs: DataFrame, shape: Shape, bits: int) -> Store:
         for ids, p in _read(batches, shape):
             for q, at in p.places():
                 row = np.searchsorted(p.first, at, side="right") - 1 + rows
-                held.append((p.shingles(q)[at], row.astype(np.int32)))
+                held.append(p.shingles(q)[at] | row.astype(U))
                 n += len(at)
-            rows = (rows + len(ids)) % (1 << 30)
-            if n > 1_000_000:
+            rows += len(ids)
+            if n and (n > 1_000_000 or rows > 60_000):  # a block has 500 rows at most
                 yield flush()
-                n = 0
+                n = rows = 0
+            rows *= n > 0
         if n:
             yield flush()
 
     def merge(arrays: list[np.ndarray]):
         high, low, times = arrays
-        keys, times = sum_by_key(high.astype(U) << U(32) | low.astype(U) << U(16), times.astype(np.int64))
+        keys = high.astype(U) << U(32) | low.astype(U) << U(16)
+        order = np.argsort(keys)
+        keys, times = keys[order], times[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        keys, times = keys[first], np.add.reduceat(times.astype(np.int64), first)
         shared = times > 1
         return [keys[shared], np.ceil(np.log2(times[shared]))], []
 
@@ -528,7 +577,7 @@ def shared_keys(docs: DataFrame, shape: Shape, bits: int) -> Store:
 
 def _range(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys in order, with the smallest ``low`` and largest ``high`` of each."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, low, high = keys[order], low[order], high[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[first], np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
@@ -546,7 +595,7 @@ def _candidates(docs: DataFrame, shape: Shape, keys, bits: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             u, low, high = _range(*map(np.concatenate, zip(*units, strict=True)))
             k, unit = map(np.concatenate, zip(*pairs, strict=True))
-            k, unit = _sorted_rows(k, unit)
+            k, unit = _rows_once(k & ~U(0xFFFFFF) | (k & U(0xFF)) << U(16) | unit >> U(48), k, unit)
             rows = [(0, *x) for x in to_blocks(u, [u, low, high], bits)] + [(1, *x) for x in to_blocks(k, [k, unit], bits)]
             units.clear()
             pairs.clear()
@@ -574,73 +623,71 @@ def _candidates(docs: DataFrame, shape: Shape, keys, bits: int) -> DataFrame:
     return docs.mapInArrow(run, f"kind int, {BLOCK}")
 
 
-def _sorted_rows(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct rows in order of the columns, the first one first."""
-    order = np.lexsort(columns[::-1])
-    columns = tuple(c[order] for c in columns)
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
-    return tuple(c[new] for c in columns)
-
+def _rows_once(order: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a and b in the given order without neighbours that are equal (nearly all that are, if equal ones are as large in ``order``)."""
+    by = np.argsort(order)
+    a, b = a[by], b[by]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
 
-def candidate_groups(k: np.ndarray, unit: np.ndarray, reach: int, most: int) -> tuple[np.ndarray, ...]:
-    """group, unit, place, n of (key and place, paragraph) pairs: for each key sets of different paragraphs, the number of a
-    set's rows, such that all pairs that have the key within ``reach`` are in a set, and their places there as near.
 
-    A set has the same name, whichever key makes it. Those of more than ``most`` rows are cut into windows. Places are left
-    out (0) of sets of few paragraphs and of those that have the key in many places each.
+def candidate_groups(k: np.ndarray, unit: np.ndarray, reach: int) -> tuple[np.ndarray, ...]:
+    """group, unit, n of (key and place, paragraph) pairs: for each key sets of n different paragraphs, such that all pairs
+    that have the key within ``reach`` are in a set. A set has the same name, whichever key makes it.
     """
-    k, unit = _sorted_rows(k, unit)
-    first = np.ones(len(k), bool)
-    first[1:] = k[1:] - k[:-1] > U(reach)  # of another key, or far away: keys are 2**16 apart
+    order = np.argsort(k)
+    k, unit = k[order], unit[order]
+    key, place = k >> U(16), (k & U(0xFFFF)).astype(np.int64)
+    new = np.ones(len(k), bool)
+    new[1:] = key[1:] != key[:-1]
+    last = np.append(np.flatnonzero(new[1:]), len(k) - 1) if len(k) else np.zeros(0, int)
+    loose = (place[last] == ANYWHERE)[np.cumsum(new) - 1]  # a paragraph has the key in many places
+    far = np.ones(len(k), bool)
+    far[1:] = place[1:] - place[:-1] > reach
+    first = new | far & ~loose
     chain = np.cumsum(first)
-    place = (k - k[first][chain - 1]).astype(np.int64)
-    rows = np.bincount(chain)
-    units = np.bincount(_sorted_rows(chain, unit)[0], minlength=len(rows))
-    placed = ((units > FEW) & (2 * rows <= 3 * units))[chain]
-    large = placed & (rows > most)[chain]
+    place -= place[first][chain - 1]
     width = reach + 2
-    window = np.where(large, place // width, 0)  # two within reach are in the window of the first
-    again = np.flatnonzero(large & (window > 0) & (place % width < reach))
-    chain, window, place, unit, placed = (np.concatenate([x, x[again]]) for x in (chain, window, place, unit, placed))
-    window[len(window) - len(again) :] -= 1
-    chain, place = chain << 17 | window, place - window * width
-    _, which, rows = np.unique(chain, return_inverse=True, return_counts=True)
-    place[~placed | (rows[which] <= FEW)] = 0
-    chain, unit, place = _sorted_rows(chain, unit, place)
+    window = np.where(loose | (np.bincount(chain)[chain] <= FEW), 0, place // width)  # two within reach are in the window of the first
+    again = np.flatnonzero((window > 0) & (place % width < reach))
+    chain = np.unique(np.concatenate([chain << 17 | window, chain[again] << 17 | window[again] - 1]), return_inverse=True)[1] if window.any() else chain
+    unit = np.concatenate([unit, unit[again]])
+    left = 64 - int(chain.max(initial=0)).bit_length()  # bits of the paragraph that fit beside
+    chain, unit = _rows_once(chain.astype(U) << U(left) | unit >> U(64 - left), chain, unit)
     first = np.flatnonzero(np.diff(chain, prepend=-1))
     size = np.diff(first, append=len(chain))
-    names = mix(np.add.reduceat(mix(join_hash(unit, place.astype(U))), first)) if len(first) else np.zeros(0, U)
-    kinds = np.flatnonzero((np.minimum.reduceat(unit, first) != np.maximum.reduceat(unit, first)) if len(first) else [])
+    names = mix(np.add.reduceat(mix(unit), first)) if len(first) else np.zeros(0, U)
+    kinds = np.flatnonzero(size > 1)
     kinds = kinds[np.unique(names[kinds], return_index=True)[1]]
-    keep = np.repeat(np.isin(np.arange(len(first)), kinds), size)
-    return np.repeat(names, size)[keep].view(np.int64), unit[keep].view(np.int64), place[keep], np.repeat(size, size)[keep]
+    chosen = np.zeros(len(first), bool)
+    chosen[kinds] = True
+    keep = np.repeat(chosen, size)
+    return np.repeat(names, size)[keep].view(np.int64), unit[keep].view(np.int64), np.repeat(size, size)[keep]
 
 
 def _gather(candidates: DataFrame, shape: Shape, bits: int) -> tuple[Store, DataFrame]:
-    """The store of candidate paragraphs (hash, smallest, largest document), and group, unit, place, n: the sets of different
+    """The store of candidate paragraphs (hash, smallest, largest document), and group, unit, n: the sets of different
     paragraphs that share a key, each set once however many bands find it. Both kinds of blocks meet in one exchange.
     """
     folder = scratch(candidates.sparkSession, "units")
-    most = GROUP
 
     def run(key, table):
         bucket = key[1].as_py()
         if key[0].as_py() == 0:
             arrays = _range(*(np.concatenate(c) for c in zip(*(unpack(p.as_py(), ["u8", "i8", "i8"]) for p in table.column("payload")), strict=True)))
             write_array(folder, str(bucket), list(arrays))
-            return pa.table({"group": pa.array([None], pa.int64()), "unit": pa.array([len(arrays[0])], pa.int64()), "place": pa.array([0], pa.int32()), "n": pa.array([0], pa.int64()), "bucket": pa.array([bucket], pa.int32())})
+            return pa.table({"group": pa.array([None], pa.int64()), "unit": pa.array([len(arrays[0])], pa.int64()), "n": pa.array([0], pa.int64()), "bucket": pa.array([bucket], pa.int32())})
         k, unit = (np.concatenate(c) for c in zip(*(unpack(p.as_py(), ["u8", "u8"]) for p in table.column("payload")), strict=True))
         del table
-        group, unit, place, n = candidate_groups(k, unit, shape.reach, most)
-        return pa.table({"group": pa.array(group), "unit": pa.array(unit), "place": pa.array(place, pa.int32()), "n": pa.array(n), "bucket": pa.nulls(len(n), pa.int32())})
+        group, unit, n = candidate_groups(k, unit, shape.reach)
+        return pa.table({"group": pa.array(group), "unit": pa.array(unit), "n": pa.array(n), "bucket": pa.nulls(len(n), pa.int32())})
 
-    done = materialise(candidates.groupBy("kind", "bucket").applyInArrow(run, "group long, unit long, place int, n long, bucket int"), "gathered")
+    done = materialise(candidates.groupBy("kind", "bucket").applyInArrow(run, "group long, unit long, n long, bucket int"), "gathered")
     sizes = {r.bucket: r.unit for r in done.where("bucket is not null").collect() if r.unit}  # one row a bucket
     store = Store(folder, bits, ["u8", "i8", "i8"], sizes).fetch(candidates.sparkSession)
     free_shuffles(candidates.sparkSession)
-    groups = materialise(done.where("bucket is null").select("group", "unit", "place", "n").distinct(), "groups")
+    groups = materialise(done.where("bucket is null").select("group", "unit", "n").distinct(), "groups")
     drop_scratch(candidates.sparkSession, done)
     free_shuffles(candidates.sparkSession)
     return store, groups
@@ -717,11 +764,11 @@ def _small_links(groups: DataFrame, words) -> DataFrame:
     """Edges a, b that unite what is similar in groups that one task can hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, place, unit in _whole_groups(batches, 1):
-            yield _edges(*unite(group, unit, words.value, place=place))
+        for group, unit in _whole_groups(batches, 1):
+            yield _edges(*unite(group, unit, words.value))
 
-    met = groups.select("group", F.col("place").cast("long"), "unit").repartition(parallelism(groups.sparkSession), "group")
-    return met.sortWithinPartitions("group", "place", "unit").mapInArrow(run, "a long, b long")
+    met = groups.select("group", "unit").repartition(parallelism(groups.sparkSession), "group")
+    return met.sortWithinPartitions("group", "unit").mapInArrow(run, "a long, b long")
 
 
 def _group_links(groups: DataFrame, roots: DataFrame, words, threshold: float) -> DataFrame:
@@ -729,11 +776,9 @@ def _group_links(groups: DataFrame, roots: DataFrame, words, threshold: float) -
 
     def elements(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, key of group and element) of each element of the paragraphs, and how many each paragraph has."""
-        size, packed = words.value.packed(part.column(1).to_numpy())
-        each = [numbered(w) for w in word_lists([p.tobytes()[: n * WORD_BYTES] for p, n in zip(packed, size.tolist(), strict=True)])]
-        sizes = np.array([len(e) for e in each])
-        row = np.repeat(np.arange(len(each)), sizes)
-        return row, join_hash(part.column(0).to_numpy().view(U)[row], np.array([x for e in each for x in e], U)), sizes
+        x, sizes = words.value.rows(part.column(1).to_numpy())
+        row, col = np.nonzero(np.arange(x.shape[1]) < sizes[:, None])
+        return row, join_hash(part.column(0).to_numpy().view(U)[row], numbered_rows(x)[row, col]), sizes
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -794,7 +839,7 @@ def repeated_passages(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     units = send(exact)
     words = send(_words(docs, groups, units, shape, bits))
     edges = _small_links(groups.where(F.col("n") <= GROUP), words)
-    large = groups.where(F.col("n") > GROUP).select("group", "unit").distinct()
+    large = groups.where(F.col("n") > GROUP)
     if not large.isEmpty():
         stars = materialise(_star_links(large, words, shape.threshold), "stars")
         found = materialise(components(stars), "roots")
@@ -824,7 +869,7 @@ def repeated_passages(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     linked = send(near)
 
     def verdict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
         for ids, p in _read(batches, shape):
             known, is_near = units.value.contains(p.unit), linked.value.contains(p.unit)
             low, high = units.value.lookup(p.unit, [1, 2])
@@ -834,23 +879,26 @@ def repeated_passages(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
             repeated, shared = known & (low != own), known & (low == own) & (high != own)
             n = len(ids)
             count = lambda mask: np.bincount(p.text[mask], minlength=n)
-            spans: list[list[dict]] = [[] for _ in range(n)]
-            keep: list[set[int]] = [set() for _ in range(n)]
-            removed = np.zeros(n, np.int64)
-            for i in np.flatnonzero(repeated):
-                t = int(p.text[i])
-                start = int(p.at[i] - p.first[t])
-                keep[t].add(int(low[i]))
-                end = start + int(p.size[i])
-                if spans[t] and start <= spans[t][-1]["end"]:
-                    removed[t] += end - spans[t][-1]["end"]
-                    spans[t][-1]["end"] = end
-                else:
-                    removed[t] += end - start
-                    spans[t].append({"start": start, "end": end})
+            i = np.flatnonzero(repeated)
+            i = i[np.argsort(p.text[i], kind="stable")]
+            text, start = p.text[i], p.at[i] - p.first[p.text[i]]
+            end = start + p.size[i]  # in order within a text: its paragraphs are as long
+            new = np.ones(len(i), bool)
+            new[1:] = (text[1:] != text[:-1]) | (start[1:] > end[:-1])
+            first = np.flatnonzero(new)
+            text_of, start, end = text[first], start[first], end[np.append(first[1:] - 1, len(i) - 1)] if len(i) else end
+            removed = np.bincount(text_of, end - start, minlength=n).astype(np.int64)
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(text_of, minlength=n))])
+            spans = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32())], fields=list(span)))
+            order = np.lexsort((low[i], text))
+            keeper, text = low[i][order], text[order]
+            new = np.ones(len(i), bool)
+            new[1:] = (text[1:] != text[:-1]) | (keeper[1:] != keeper[:-1])
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(text[new], minlength=n))])
+            keep = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keeper[new], pa.int64()))
             none = ids == NULL_ID
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, mask=none), pa.array(np.diff(p.first)), pa.array(np.bincount(p.text, minlength=n)), pa.array(count(repeated)), pa.array(count(shared)), pa.array(removed), pa.array(spans, span), pa.array([sorted(k) for k in keep], pa.list_(pa.int64()))],
+                [pa.array(ids, mask=none), pa.array(np.diff(p.first)), pa.array(np.bincount(p.text, minlength=n)), pa.array(count(repeated)), pa.array(count(shared)), pa.array(removed), spans, keep],
                 ["doc_id", "n_words", "n_paragraphs", "n_repeated", "n_shared", "n_removed_words", "spans", "keep_ids"],
             )
 

@@ -349,22 +349,50 @@ def test_links_between_paragraphs_of_one_document(spark, table):
     assert sorted((r.doc_id, r.n_repeated, r.n_shared) for r in found) == [(1, 0, 1), (5, 1, 0), (5, 1, 0), (7, 0, 0)]
 
 
-@pytest.mark.parametrize("most", [3, 40, 2000])
-def test_candidate_groups_hold_pairs_within_reach(most):
+def test_candidate_groups_hold_pairs_within_reach():
     rng = random.Random(24)
+    anywhere = substring_dedup.ANYWHERE
     for spread, times in ((50, 1), (12, 1), (50, 6)):
-        rows = {(key, 2 * rng.randrange(spread), unit) for key in (1, 2) for unit in range(120) for _ in range(times)}
-        rows |= {(key, 2 * place, unit) for key in (3, 4) for place, unit in ((3, 1000), (20, 1001), (21, 1002), (24, 1003))}
+        rows = {(key, 2 * rng.randrange(spread), unit) for key in (1, 2, 5) for unit in range(120) for _ in range(times)}
+        rows |= {(key, 2 * place, unit) for key in (3, 4) for place, unit in ((3, 1000), (20, 1001), (21, 1002), (24, 1003))} | {(5, anywhere, 500)}
         rows = sorted(rows)
-        got = substring_dedup.candidate_groups(np.array([k << 16 | p for k, p, _ in rows], np.uint64), np.array([u for *_, u in rows], np.uint64), 6, most)
-        sets = defaultdict(list)
-        for group, unit, place, n in zip(*map(np.ndarray.tolist, got), strict=True):
-            sets[group].append((unit, place, n))
-        pairs = lambda held: {(a[0], b[0]) for a in held for b in held if a[0] < b[0] and abs(a[1] - b[1]) <= 6}
-        want = set().union(*(pairs([(u, p) for k, p, u in rows if k == key]) for key in (1, 2, 3, 4)))
-        assert want <= set().union(*map(pairs, sets.values())) and all(n == len(held) for held in sets.values() for *_, n in held)
-        assert not any(1000 in (unit for unit, *_ in held) for held in sets.values())  # far from the others
-        assert sum({unit for unit, *_ in held} >= {1001, 1002} for held in sets.values()) == 1  # both keys make one
+        got = substring_dedup.candidate_groups(np.array([k << 16 | p for k, p, _ in rows], np.uint64), np.array([u << 53 for *_, u in rows], np.uint64), 6)  # as wide as hashes are
+        sets = defaultdict(set)
+        for group, unit, n in zip(*map(np.ndarray.tolist, got), strict=True):
+            sets[group, n].add(unit >> 53)
+        near = lambda a, b: abs(a - b) <= 6 or anywhere in (a, b)
+        want = {(u, v) for k, p, u in rows for key, q, v in rows if k == key and u < v and near(p, q)}
+        assert all(any({u, v} <= held for held in sets.values()) for u, v in want) and all(n == len(held) for (_, n), held in sets.items())
+        assert not any(1000 in held for held in sets.values())  # far from the others
+        assert sum(held >= {1001, 1002} for held in sets.values()) == 1  # both keys make one
+
+
+def test_large_groups_lose_no_link():
+    """``unite`` against all pairs: groups of families of paragraphs and of runs of words, larger than FEW."""
+    rng = random.Random(25)
+    paragraphs = []
+    for _ in range(12):
+        base = [rng.randrange(1, 200) for _ in range(30)]
+        for _ in range(8):
+            paragraphs.append([w if rng.random() > 0.12 else rng.randrange(1, 200) for w in base][: rng.choice([30, 30, 27])])
+    paragraphs += [[7] * i + [rng.choice([8, 9, 10])] * (30 - i) for i in range(31) for _ in range(2)]
+    x = np.zeros((len(paragraphs), 30), np.uint64)
+    for row, p in zip(x, paragraphs, strict=True):
+        row[: len(p)] = p
+    assert [r[: len(p)] for r, p in zip(substring_dedup.numbered_rows(x).tolist(), paragraphs, strict=True)] == [substring_dedup.numbered(p) for p in paragraphs]
+
+    class Held:
+        shape = substring_dedup.Shape()
+
+        def rows(self, units):
+            return x[units], np.array([len(paragraphs[u]) for u in units])
+
+    group, unit = np.repeat([1, 2, 3], [len(x), 100, 20]), np.concatenate([np.arange(len(x)), np.arange(40, 140), np.arange(20)])
+    want = [(a, b) for a in range(len(x)) for b in range(a) if substring_dedup.similar(paragraphs[a], paragraphs[b], 0.8)]
+    assert plain_components(range(len(x)), list(zip(*substring_dedup.unite(group, unit, Held()), strict=True))) == plain_components(range(len(x)), want)
+    some = plain_components(range(len(x)), want[::5])
+    more = list(zip(*substring_dedup.unite(group, unit, Held(), np.array([some[u] for u in unit])), strict=True))
+    assert plain_components(range(len(x)), more + want[::5]) == plain_components(range(len(x)), want)
 
 
 def test_pairs_compared_at_once():
