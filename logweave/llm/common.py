@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,9 +40,14 @@ def drop_scratch(spark: SparkSession, df_or_path: DataFrame | str) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are done, which it does once the driver's JVM has collected them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of plans that are done, which it does once the driver's JVM has collected them.
+
+    With executors, the last plan is still held when the first collection ends, and goes with a later one.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

@@ -122,12 +122,12 @@ class Store:
                 found[a:b] = have[np.minimum(np.searchsorted(have, kinds[a:b]), len(have) - 1)] == kinds[a:b]
         return found[back]
 
-    def lookup(self, keys: np.ndarray, want: list[int]) -> list[np.ndarray]:
-        """For each key the entries of the arrays ``want`` (by number), zero where the key is missing."""
-        out = [np.zeros(len(keys), self.dtypes[w]) for w in want]
+    def find(self, keys: np.ndarray, want: list[int]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Whether each key is there, and its entries of the arrays ``want`` (by number), zero where it is missing."""
         if not len(keys):
-            return out
+            return np.zeros(0, bool), [np.zeros(0, self.dtypes[w]) for w in want]
         kinds, back = np.unique(keys, return_inverse=True)
+        there = np.zeros(len(kinds), bool)
         found = [np.zeros(len(kinds), self.dtypes[w]) for w in want]
         bucket = bucket_of(kinds, self.bits)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(kinds)]])
@@ -136,9 +136,14 @@ class Store:
             if len(arrays[0]):
                 at = np.minimum(np.searchsorted(arrays[0], kinds[a:b]), len(arrays[0]) - 1)
                 hit = arrays[0][at] == kinds[a:b]
+                there[a:b] = hit
                 for x, w in zip(found, want, strict=True):
                     x[a:b][hit] = arrays[w][at[hit]]
-        return [x[back] for x in found]
+        return there[back], [x[back] for x in found]
+
+    def lookup(self, keys: np.ndarray, want: list[int]) -> list[np.ndarray]:
+        """For each key the entries of the arrays ``want`` (by number), zero where the key is missing."""
+        return self.find(keys, want)[1]
 
 
 def buckets_for(n_bytes: int, bucket_bytes: int) -> int:

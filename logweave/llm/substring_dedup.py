@@ -28,7 +28,7 @@ of the 28 (a bottom-k sketch) of one paragraph and those of the other have one i
    first compared with one of the group, and where that leaves more than one component, the rarest words are
    keys of their own. A group of more than ``GROUP`` is no task's work as a whole: there the same is done by
    pairs and keys dealt to tasks.
-4. Linked paragraphs form components. Of each component the smallest doc_id keeps its paragraphs; the
+4. Linked paragraphs form components (``component_store``). Of each component the smallest doc_id keeps its paragraphs; the
    other documents lose theirs. The verdicts are a sorted array too: each document looks its own
    paragraphs up where it lies, so no passage is ever a join key.
 
@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import and_end, drop_scratch, free_shuffles, give_back, join_counted, materialise, parallelism, scratch, slices, utf8
-from .components import components, forest
+from .components import component_store, components, edge_blocks, forest
 from .hashstore import BLOCK, Store, block_batch, buckets_for, build, sum_by_key, to_blocks, unpack, write_array
 from .words import U, blocks, join_hash, mix, shingle_hashes, word_hashes
 
@@ -760,19 +760,18 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], names: int, rows: int = 40_
     give_back()
 
 
-def _small_links(groups: DataFrame, words) -> DataFrame:
-    """Edges a, b that unite what is similar in groups that one task can hold."""
+def _small_links(groups: DataFrame, words, bits: int) -> DataFrame:
+    """Blocks of edges that unite what is similar in groups that one task can hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, unit in _whole_groups(batches, 1):
-            yield _edges(*unite(group, unit, words.value))
+        yield from edge_blocks((unite(group, unit, words.value) for group, unit in _whole_groups(batches, 1)), bits)
 
     met = groups.select("group", "unit").repartition(parallelism(groups.sparkSession), "group")
-    return met.sortWithinPartitions("group", "unit").mapInArrow(run, "a long, b long")
+    return met.sortWithinPartitions("group", "unit").mapInArrow(run, BLOCK)
 
 
-def _group_links(groups: DataFrame, roots: DataFrame, words, threshold: float) -> DataFrame:
-    """Edges a, b that unite what is similar in large groups that ``roots`` doesn't yet make one component of."""
+def _group_links(groups: DataFrame, roots: DataFrame, words, threshold: float, dealt: int) -> DataFrame:
+    """Blocks (``dealt``: their bits) of edges that unite what is similar in large groups that ``roots`` doesn't yet make one component of."""
 
     def elements(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, key of group and element) of each element of the paragraphs, and how many each paragraph has."""
@@ -808,8 +807,8 @@ def _group_links(groups: DataFrame, roots: DataFrame, words, threshold: float) -
             yield pa.RecordBatch.from_arrays([whole.column(0), pa.array(key[keep].view(np.int64)), *whole.columns[1:]], ["group", "element", "unit", "root"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, element, unit, root in _whole_groups(batches, 2):
-            yield _edges(*unite(join_hash(group.view(U), element.view(U)).view(np.int64), unit, words.value, root))
+        sets = _whole_groups(batches, 2)
+        yield from edge_blocks((unite(join_hash(group.view(U), element.view(U)).view(np.int64), unit, words.value, root) for group, element, unit, root in sets), dealt)
 
     named = groups.join(roots.select(F.col("node").alias("unit"), "root"), "unit", "left").select("group", "unit", F.coalesce("root", "unit").alias("root"))
     open_ = named.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select("group", "n", F.lit(True).alias("open"))
@@ -819,7 +818,43 @@ def _group_links(groups: DataFrame, roots: DataFrame, words, threshold: float) -
     store, _ = build(members.mapInArrow(counted, BLOCK), "elements", bits, ["u8", "i8"], ["u8", "i8"], merge)
     counts = groups.sparkSession.sparkContext.broadcast(store)
     met = members.mapInArrow(rarest, "group long, element long, unit long, root long")
-    return met.repartition(parallelism(groups.sparkSession), "group", "element").sortWithinPartitions("group", "element", "unit").mapInArrow(verify, "a long, b long")
+    return met.repartition(parallelism(groups.sparkSession), "group", "element").sortWithinPartitions("group", "element", "unit").mapInArrow(verify, BLOCK)
+
+
+def _verdicts(units, roots, bits: int, spark) -> Store:
+    """(paragraph, first, last document) of all candidates: for those in components the first and last of the component."""
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[int]:
+        for batch in batches:
+            yield from batch.column(0).to_pylist()
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket in numbers(batches):
+            node, root = (np.asarray(x) for x in roots.value.bucket(bucket))
+            if len(node):
+                root, low, high = _range(root, *units.value.lookup(node, [1, 2]))
+                yield block_batch(list(to_blocks(root, [root, low, high], bits)))
+
+    def merge(arrays: list[np.ndarray]):
+        root = distinct(arrays[0])  # a member too
+        return list(_range(*(np.concatenate(x) for x in zip(arrays, [root, *units.value.lookup(root, [1, 2])], strict=True)))), []
+
+    buckets = spark.range(0, 1 << bits, 1, parallelism(spark))
+    kinds = ["u8", "i8", "i8"]
+    classes = spark.sparkContext.broadcast(build(buckets.mapInArrow(members, BLOCK), "classes", bits, kinds, kinds, merge)[0])
+    folder = scratch(spark, "verdicts")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket in numbers(batches):
+            unit, low, high = (np.asarray(x) for x in units.value.bucket(bucket))
+            if len(unit):
+                linked, (root,) = roots.value.find(unit, [1])
+                near, (first, last) = classes.value.find(np.where(linked, root, unit), [1, 2])
+                write_array(folder, str(bucket), [unit, np.where(near, first, low), np.where(near, last, high)])
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([len(unit)], pa.int64())], ["bucket", "n"])
+
+    sizes = {r.bucket: r.n for r in buckets.mapInArrow(write, "bucket int, n long").collect()}  # one row a bucket
+    return Store(folder, bits, kinds, sizes).fetch(spark)
 
 
 def repeated_passages(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
@@ -838,43 +873,19 @@ def repeated_passages(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     drop_scratch(spark, keys.folder)
     units = send(exact)
     words = send(_words(docs, groups, units, shape, bits))
-    edges = _small_links(groups.where(F.col("n") <= GROUP), words)
+    links = _small_links(groups.where(F.col("n") <= GROUP), words, bits)
     large = groups.where(F.col("n") > GROUP)
     if not large.isEmpty():
         stars = materialise(_star_links(large, words, shape.threshold), "stars")
         found = materialise(components(stars), "roots")
-        edges = edges.unionByName(stars).unionByName(_group_links(large, found, words, shape.threshold))
-    roots = components(edges)
-
-    def first_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            low, high = units.value.lookup(batch.column(0).to_numpy().view(U), [1, 2])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low), pa.array(high)], ["node", "root", "low", "high"])
-
-    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    members = materialise(members.mapInArrow(first_docs, "node long, root long, low long, high long"), "members")
-    classes = members.groupBy("root").agg(F.min("low").alias("keep"), F.max("high").alias("last"), F.count("*").alias("n"))
-    verdicts = join_counted(members, classes, ["root"], "n", members.count()).select("node", "keep", "last")
-
-    def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node = batch.column(0).to_numpy().view(U)
-            order = np.argsort(node)
-            yield block_batch(list(to_blocks(node[order], [node[order], *(batch.column(i).to_numpy()[order] for i in (1, 2))], bits)))
-
-    def merge(arrays: list[np.ndarray]):
-        return list(_range(*arrays)), []
-
-    near, _ = build(verdicts.mapInArrow(blocks_of, BLOCK), "near", bits, ["u8", "i8", "i8"], ["u8", "i8", "i8"], merge)
-    linked = send(near)
+        starred = stars.mapInArrow(lambda batches: edge_blocks(((b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches), bits), BLOCK)
+        links = links.unionByName(starred).unionByName(_group_links(large, found, words, shape.threshold, bits))
+    final = send(_verdicts(units, send(component_store(links, bits)), bits, spark))
 
     def verdict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
         for ids, p in _read(batches, shape):
-            known, is_near = units.value.contains(p.unit), linked.value.contains(p.unit)
-            low, high = units.value.lookup(p.unit, [1, 2])
-            near_low, near_high = linked.value.lookup(p.unit, [1, 2])
-            low, high = np.where(is_near, near_low, low), np.where(is_near, near_high, high)
+            known, (low, high) = final.value.find(p.unit, [1, 2])
             own = ids[p.text]
             repeated, shared = known & (low != own), known & (low == own) & (high != own)
             n = len(ids)

@@ -132,6 +132,26 @@ def test_components(spark):
     assert components.components(df.limit(0)).collect() == []
 
 
+def test_component_store(spark):
+    rng = random.Random(7)
+    names = [rng.getrandbits(64) for _ in range(3000)]
+    chain = sorted(names[:400])
+    edges = list(zip(chain, chain[1:])) + [(names[500], x) for x in names[500:900]]
+    edges += [(rng.choice(names[1000:]), rng.choice(names[1000:])) for _ in range(1500)]
+    rng.shuffle(edges)
+    want = {n: r for n, r in plain_components({x for e in edges for x in e}, edges).items() if n != r}
+    signed = [[x - (1 << 64) if x >> 63 else x for x in e] for e in edges]
+    df = spark.createDataFrame(signed, "a long, b long").repartition(5)
+
+    def blocks(batches):
+        return components.edge_blocks(((b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches), 3, 100)
+
+    store = components.component_store(df.mapInArrow(blocks, components.BLOCK), 3)
+    found = {n: r for b in range(8) for n, r in zip(*(x.tolist() for x in store.bucket(b)))}
+    assert found == want and store.n == len(want)
+    assert components.component_store(df.limit(0).mapInArrow(blocks, components.BLOCK), 3).n == 0
+
+
 def test_near_sets(spark, table):
     rng = random.Random(6)
     rows = [(i, prose(rng, rng.randrange(2, 90))) for i in range(30)] + [(30, "a b"), (31, "A  b"), (32, "a b c")]
