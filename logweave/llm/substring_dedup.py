@@ -833,11 +833,12 @@ def _verdicts(units, roots, bits: int, spark) -> Store:
             node, root = (np.asarray(x) for x in roots.value.bucket(bucket))
             if len(node):
                 root, low, high = _range(root, *units.value.lookup(node, [1, 2]))
-                yield block_batch(list(to_blocks(root, [root, low, high], bits)))
+                own_low, own_high = units.value.lookup(root, [1, 2])  # a member too
+                facts = _range(mix(root), np.minimum(low, own_low), np.maximum(high, own_high))  # roots are small hashes: few buckets
+                yield block_batch(list(to_blocks(facts[0], list(facts), bits)))
 
     def merge(arrays: list[np.ndarray]):
-        root = distinct(arrays[0])  # a member too
-        return list(_range(*(np.concatenate(x) for x in zip(arrays, [root, *units.value.lookup(root, [1, 2])], strict=True)))), []
+        return list(_range(*arrays)), []
 
     buckets = spark.range(0, 1 << bits, 1, parallelism(spark))
     kinds = ["u8", "i8", "i8"]
@@ -849,7 +850,7 @@ def _verdicts(units, roots, bits: int, spark) -> Store:
             unit, low, high = (np.asarray(x) for x in units.value.bucket(bucket))
             if len(unit):
                 linked, (root,) = roots.value.find(unit, [1])
-                near, (first, last) = classes.value.find(np.where(linked, root, unit), [1, 2])
+                near, (first, last) = classes.value.find(mix(np.where(linked, root, unit)), [1, 2])
                 write_array(folder, str(bucket), [unit, np.where(near, first, low), np.where(near, last, high)])
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([len(unit)], pa.int64())], ["bucket", "n"])
 

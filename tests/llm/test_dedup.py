@@ -1,9 +1,13 @@
 """Exact, near, line and passage duplicates against plain versions."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -152,6 +156,29 @@ def test_component_store(spark):
     assert components.component_store(df.limit(0).mapInArrow(blocks, components.BLOCK), 3).n == 0
 
 
+FREED = """
+import sys, numpy as np, pyarrow as pa
+from logweave.llm import common, hashstore
+from logweave.session import session
+spark = session(master="local-cluster[1,1,1024]", shuffle_partitions=2, **{"spark.checkpoint.dir": "file://" + sys.argv[1], "spark.driver.host": "127.0.0.1"})
+
+def blocks(batches):
+    for batch in batches:
+        keys = np.sort(batch.column(0).to_numpy().view("u8"))
+        yield hashstore.block_batch(list(hashstore.to_blocks(keys, [keys], 3)))
+
+hashstore.build(spark.range(1000).mapInArrow(blocks, hashstore.BLOCK), "keys", 3, ["u8"], ["u8"], lambda a: ([np.unique(a[0])], []))
+common.free_shuffles(spark)
+print("left", spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size())
+"""
+
+
+def test_shuffles_are_freed_on_executors(tmp_path):
+    root = Path(__file__).resolve().parents[2]
+    run = subprocess.run([sys.executable, "-c", FREED, str(tmp_path)], capture_output=True, text=True, timeout=180, cwd=root, env=os.environ | {"PYTHONPATH": str(root)})
+    assert "left 0" in run.stdout, run.stdout + run.stderr[-2000:]
+
+
 def test_near_sets(spark, table):
     rng = random.Random(6)
     rows = [(i, prose(rng, rng.randrange(2, 90))) for i in range(30)] + [(30, "a b"), (31, "A  b"), (32, "a b c")]
