@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..config import RecoveryMode
 from ..errors import CodecFailure, Corruption, InvalidArgument, LogError
@@ -44,6 +45,11 @@ PLAIN, LZ4 = 0, 1
 OFFSET_BITS, SEQ_BITS = 36, 26
 DUMP = "dump"
 
+#: Files of a log are read together, up to so many bytes a task, each with what opening it costs; but in at least so many tasks.
+PART_BYTES, OPEN_BYTES, LEAST_PARTS = 32 << 20, 64 << 10, 32
+#: Rows, and bytes of keys, values and payloads, of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 10_000, 16 << 20
+
 SCHEMA = "queue tinyint, file_seq long, block_offset long, item_no int, lsn long, region_id decimal(20,0), kind string, first_index decimal(20,0), last_index decimal(20,0), key binary, value binary, entry_len array<long>, payloads array<binary>, compression tinyint, error string"
 
 
@@ -67,20 +73,25 @@ def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if re.match(r"[a-z0-9+.-]+:/", path) else (pafs.LocalFileSystem(), path)
 
 
-def scan_dir(*paths: str) -> list[tuple[int, int, str]]:
-    """(queue, file number, path) of the log files of one or more folders, rewrite files first, each queue in order."""
+def scan_sizes(*paths: str) -> list[tuple[int, int, str, int]]:
+    """(queue, file number, path, bytes) of the log files of one or more folders, rewrite files first, each queue in order."""
     found = []
     for path in paths:
         fs, inside = open_fs(path)
         prefix = path.rstrip("/")
-        found += [(*p, f"{prefix}/{i.base_name}") for i in fs.get_file_info(pafs.FileSelector(inside)) if i.is_file and (p := parse_file_name(i.base_name))]
+        found += [(*p, f"{prefix}/{i.base_name}", i.size or 0) for i in fs.get_file_info(pafs.FileSelector(inside)) if i.is_file and (p := parse_file_name(i.base_name))]
     return sorted(found, key=lambda f: (-f[0], f[1]))
 
 
-def newest_without_gap(files: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+def scan_dir(*paths: str) -> list[tuple[int, int, str]]:
+    """(queue, file number, path) of the log files of one or more folders, rewrite files first, each queue in order."""
+    return [f[:3] for f in scan_sizes(*paths)]
+
+
+def newest_without_gap(files: list[tuple]) -> list[tuple]:
     """Each queue's newest files with consecutive numbers."""
     kept: dict[int, int] = {}
-    for q, seq, _ in reversed(files):
+    for q, seq, *_ in reversed(files):
         if q not in kept or kept[q] == seq + 1:
             kept[q] = seq
     return [f for f in files if f[1] >= kept[f[0]]]
@@ -313,15 +324,32 @@ def read_file(path: str, queue: int, seq: int, mode: str, newest: bool, payloads
 
 
 @dataclass
-class FilePartition(InputPartition):
-    path: str
-    queue: int
-    seq: int
-    newest: bool
+class FilesPartition(InputPartition):
+    """Files that one task reads, in their order: (queue, file number, path, whether it is its queue's newest)."""
+
+    files: list[tuple[int, int, str, bool]]
+
+
+def arrow_batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+    key, value, payloads = (schema.get_field_index(c) for c in ("key", "value", "payloads"))
+    for row in rows:
+        held.append(row)
+        n += len(row[key] or b"") + len(row[value] or b"") + sum(map(len, row[payloads] or ()))
+        if len(held) >= BATCH_ROWS or n >= BATCH_BYTES:
+            yield batch()
+            held, n = [], 0
+    if held:
+        yield batch()
 
 
 class RawLogReader(DataSourceReader):
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, schema: pa.Schema):
+        self.schema = schema
         self.mode = options.get("mode", DUMP)
         if self.mode not in (DUMP, *(m.value for m in RecoveryMode)):
             raise InvalidArgument(f"unknown mode {self.mode!r}")
@@ -332,12 +360,16 @@ class RawLogReader(DataSourceReader):
             p = parse_file_name(path.rsplit("/", 1)[-1])
             if not p:
                 raise InvalidArgument(f"not a log file: {path}")
-            self.files = [(*p, path)]
+            self.files = [(*p, path, 0)]
         else:
-            found = scan_dir(path, *filter(None, [options.get("spill")]))
+            found = scan_sizes(path, *filter(None, [options.get("spill")]))
             self.files = found if self.mode == DUMP else newest_without_gap(found)
         # of all files, whatever filters are pushed: a filter must not change what counts as a log's tail
-        self.newest = {q: max(s for p, s, _ in self.files if p == q) for q, _, _ in self.files}
+        self.newest = {q: s for q, s, *_ in self.files}  # each queue's files are in order
+
+    def __getstate__(self) -> dict:
+        """Every task gets the reader, and its own files by its partition: the list of all files stays in the driver."""
+        return self.__dict__ | {"files": []}
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Equality on queue and file_seq chooses files; everything else is Spark's.
@@ -350,16 +382,22 @@ class RawLogReader(DataSourceReader):
             yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [FilePartition(path, q, s, self.newest[q] == s) for q, s, path in self.files]
-
-    def read(self, partition: FilePartition) -> Iterator[tuple]:
-        from decimal import Decimal
-
-        for row in read_file(partition.path, partition.queue, partition.seq, self.mode, partition.newest, self.payloads):
-            row = list(row)
-            for i in (5, 7, 8):
-                row[i] = None if row[i] is None else Decimal(row[i])
-            yield tuple(row)
+        costs = [size + OPEN_BYTES for *_, size in self.files]
+        room = min(PART_BYTES, sum(costs) / LEAST_PARTS)
+        parts, held = [], 0
+        for (q, seq, path, _), cost in zip(self.files, costs, strict=True):
+            if not parts or held + cost > room:
+                parts.append(FilesPartition([]))
+                held = 0
+            parts[-1].files.append((q, seq, path, self.newest[q] == seq))
+            held += cost
+        return parts
+
+    def read(self, partition: FilesPartition | None) -> Iterator[pa.RecordBatch]:
+        """Without any file Spark asks for one partition None."""
+        files = partition.files if partition else []
+        rows = (row for q, seq, path, newest in files for row in read_file(path, q, seq, self.mode, newest, self.payloads))
+        return arrow_batches(rows, self.schema)
 
 
 class RawLogSource(DataSource):
@@ -373,7 +411,7 @@ class RawLogSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return RawLogReader(dict(self.options))
+        return RawLogReader(dict(self.options), to_arrow_schema(schema))
 
 
 def register(spark: SparkSession) -> None:
@@ -426,27 +464,32 @@ class RawLogWriter:
 def write_table(items: DataFrame, folder: str, threshold: int = 8 << 10, version: int = 2) -> DataFrame:
     """Write a log table (queue, file_seq, lsn, batch_id, region_id, kind, first_index, key, value, payloads) as raw files.
 
-    Each file is one task's work, written aside and renamed; its batches are streamed, so a task holds one file's bytes.
+    Each file is one task's work, written aside and renamed; a task writes its files one after the other and holds one batch.
     Gives queue, file_seq, n_bytes, raw_bytes, stored_bytes (of entries) of each file; the files are there when that is read.
     """
+    fields = ["queue", "file_seq", "lsn", "batch_id", "region_id", "kind", "first_index", "key", "value", "payloads"]
 
-    def one(key, table):
-        queue, seq = (k.as_py() for k in key)
-        rows = table.sort_by("lsn").to_pylist()
-        out, raw, stored = bytearray(header(version)), 0, 0
-        for _, group in itertools.groupby(rows, key=lambda r: r["batch_id"]):
-            batch = LogBatch()
-            batch.items = [Item(r["region_id"], r["kind"], r["first_index"], r["payloads"] or [], r["key"], r["value"]) for r in group]
-            data = encode_batch(batch, seq, version, threshold)
-            n = sum(len(p) for i in batch.items for p in i.payloads)
-            raw, stored = raw + n, stored + round(n * compression_ratio(data))
-            out += data
+    def write(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for t in tables for r in zip(*(c.to_pylist() for c in t.columns), strict=True))
         fs, inside = open_fs(folder)
         fs.create_dir(inside, recursive=True)
-        aside = f"{inside}/.{file_name(queue, seq)}.{uuid.uuid4().hex}"
-        with fs.open_output_stream(aside) as f:
-            f.write(bytes(out))
-        fs.move(aside, f"{inside}/{file_name(queue, seq)}")
-        return pa.table({"queue": pa.array([queue], pa.int8()), "file_seq": [seq], "n_bytes": [len(out)], "raw_bytes": [raw], "stored_bytes": [stored]})
-
-    return items.groupBy("queue", "file_seq").applyInArrow(one, "queue tinyint, file_seq long, n_bytes long, raw_bytes long, stored_bytes long")
+        for (queue, seq), own in itertools.groupby(rows, key=lambda r: r[:2]):
+            aside = f"{inside}/.{file_name(queue, seq)}.{uuid.uuid4().hex}"
+            with fs.open_output_stream(aside) as f:
+                head = header(version)
+                f.write(head)
+                size, raw, stored = len(head), 0, 0
+                for _, group in itertools.groupby(own, key=lambda r: r[3]):
+                    batch = LogBatch()
+                    batch.items = [Item(region, kind, first, payloads or [], key, value) for *_, region, kind, first, key, value, payloads in group]
+                    data = encode_batch(batch, seq, version, threshold)
+                    n = sum(len(p) for i in batch.items for p in i.payloads)
+                    size, raw, stored = size + len(data), raw + n, stored + round(n * compression_ratio(data))
+                    f.write(data)
+            fs.move(aside, f"{inside}/{file_name(queue, seq)}")
+            yield pa.RecordBatch.from_pydict({"queue": pa.array([queue], pa.int8()), "file_seq": [seq], "n_bytes": [size], "raw_bytes": [raw], "stored_bytes": [stored]})
+
+    fs, inside = open_fs(folder)
+    fs.create_dir(inside, recursive=True)  # a log without operations is a folder without files
+    dealt = items.select(*fields).repartition("queue", "file_seq").sortWithinPartitions("queue", "file_seq", "lsn")
+    return dealt.mapInArrow(write, "queue tinyint, file_seq long, n_bytes long, raw_bytes long, stored_bytes long")

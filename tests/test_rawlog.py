@@ -1,6 +1,8 @@
 import os
+import pickle
 
 import pytest
+from pyspark.sql.types import _parse_datatype_string
 
 from logweave.errors import BatchFull, Corruption, InvalidArgument
 from logweave.functions import codec
@@ -234,3 +236,38 @@ def test_table_as_raw_files(spark, tmp_path):
     assert {r.file_seq for r in files} == {1, 2, 3} and all(r.raw_bytes and r.stored_bytes for r in files)
     back = recovered(spark, tmp_path / "raw", "absolute-consistency").orderBy("lsn").collect()
     assert [bytes(r.payloads[0]) for r in back] == [b"p%d" % i for i in range(10)]
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """The number of tasks grows with the bytes of a log and not with its files, and a task isn't sent the names of all files."""
+    n = 300
+    for seq in range(1, n + 1):
+        (tmp_path / rawlog.file_name(0, seq)).write_bytes(rawlog.header() + rawlog.encode_batch(_batch(), seq))
+    (tmp_path / rawlog.file_name(0, 7)).write_bytes(rawlog.header() + rawlog.encode_batch(_batch(), 7)[:-1])
+    df = recovered(spark, tmp_path, "dump")
+    rows = df.collect()
+    assert df.rdd.getNumPartitions() <= 2 * rawlog.LEAST_PARTS
+    assert [r.file_seq for r in rows] == list(range(1, n + 1)) and [r.file_seq for r in rows if r.error] == [7]
+    assert all(r.region_id == 1 and [bytes(p) for p in r.payloads] == [b"a" * 20, b"b" * 20] for r in rows if not r.error)
+    reader = recovered_reader(tmp_path)
+    assert len(pickle.dumps(reader)) < 10_000 and len(reader.files) == n
+    assert [f[1] for p in reader.partitions() for f in p.files] == list(range(1, n + 1))
+
+
+def recovered_reader(folder):
+    return rawlog.RawLogSource({"path": str(folder)}).reader(_parse_datatype_string(rawlog.SCHEMA))
+
+
+def test_log_without_files(spark, tmp_path):
+    items = spark.createDataFrame([], batch_module.SCHEMA)
+    assert rawlog.write_table(items, f"file://{tmp_path}/raw").collect() == []
+    for mode in ("dump", *MODES):
+        assert recovered(spark, tmp_path / "raw", mode).collect() == []
+
+
+def test_batches_are_bounded(tmp_path, monkeypatch):
+    monkeypatch.setattr(rawlog, "BATCH_BYTES", 100)
+    schema = recovered_reader(tmp_path).schema
+    rows = [(0, 1, i, 0, i, 1, "ENTRIES", i, i + 1, None, None, [20, 20], [b"a" * 20, b"b" * 20], 0, None) for i in range(10)]
+    batches = list(rawlog.arrow_batches(iter(rows), schema))
+    assert [b.num_rows for b in batches] == [3, 3, 3, 1] and [x for b in batches for x in b["lsn"].to_pylist()] == list(range(10))
