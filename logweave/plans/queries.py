@@ -18,6 +18,8 @@ from ..session import materialise, scratch
 from ..sources import derived, rawlog
 
 CONFIG = EngineConfig(target_file_size=1 << 20, purge_threshold=8 << 20, purge_rewrite_threshold=1 << 20).sanitize()
+#: A chunk of the raw files' order keys, which hold a file's number above its places: as many files as have ``fold.CHUNK`` operations.
+RAW_CHUNK = fold.CHUNK // derived.FILE_ROWS << rawlog.OFFSET_BITS
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -150,7 +152,7 @@ def raw_log_dump(log: Log) -> DataFrame:
 def raw_log_recovered(log: Log) -> DataFrame:
     """Live runs of the raw files, in their own order of places."""
     raw = raw_log(log, "absolute-consistency")
-    return fold.live_runs(raw).select("region_id", "file_seq", "lo", "hi")
+    return fold.live_runs(raw, chunk=RAW_CHUNK).select("region_id", "file_seq", "lo", "hi")
 
 
 # ---- fold

@@ -271,3 +271,14 @@ def test_batches_are_bounded(tmp_path, monkeypatch):
     rows = [(0, 1, i, 0, i, 1, "ENTRIES", i, i + 1, None, None, [20, 20], [b"a" * 20, b"b" * 20], 0, None) for i in range(10)]
     batches = list(rawlog.arrow_batches(iter(rows), schema))
     assert [b.num_rows for b in batches] == [3, 3, 3, 1] and [x for b in batches for x in b["lsn"].to_pylist()] == list(range(10))
+
+
+def test_chunks_of_raw_files():
+    """Neighbouring files of a raw log are folded in one chunk, of about as many operations as any chunk has."""
+    from logweave.operators import fold
+    from logweave.plans.queries import RAW_CHUNK
+    from logweave.sources.derived import FILE_ROWS
+
+    files = fold.CHUNK // FILE_ROWS
+    at = [rawlog.order_key(0, seq, 64, 0) // RAW_CHUNK for seq in range(files, 3 * files)]
+    assert len(set(at)) <= 3 and at == sorted(at)
